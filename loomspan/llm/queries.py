@@ -4,21 +4,74 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash
+from . import decontamination, fixity, html_extraction, licenses, packing, quality_classifier, quality_rules, sharding, simhash, token_store
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as records, against a replica of them with known faults."""
+    records = fixity.records(table(spark, sf_dir, "pages"))
+    found = fixity.audit(records, fixity.damaged(records))
+    return found.select(found.record.alias("page_id"), "file", "offset", "length", "kind")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.train(spark, docs))
+    return found.select("doc_id", "paragraph", "family", "predicted", "probability", "similarity", "confirmed")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_map(table(spark, sf_dir, "documents"))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write(table(spark, sf_dir, "documents"))
+    return token_store.documents(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+_OP4 = """
+WITH records AS (
+  SELECT page_id, CAST(floor(page_id / 4096.0) AS BIGINT) AS file, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS tag,
+         strlen('WARC/1.0') + 2 + strlen('WARC-Type: response') + 2 + strlen('WARC-Record-ID: <urn:page:' || page_id || '>') + 2
+         + strlen('WARC-Target-URI: ' || coalesce(url, '')) + 2 + strlen('Content-Length: ' || strlen(coalesce(html, ''))) + 4
+         + strlen(coalesce(html, '')) + 4 AS length
+  FROM pages),
+placed AS (
+  SELECT *, sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS UNBOUNDED PRECEDING) - length AS begin FROM records)
+SELECT page_id, file, CAST(begin AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+       CASE tag WHEN '00' THEN 'missing' ELSE 'changed' END AS kind
+FROM placed WHERE tag IN ('00', '01', '02')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_fixity_audit": _OP4}
