@@ -65,7 +65,7 @@ def stability_label(deviation: Column) -> Column:
 
 
 def percent_text(x: Column) -> Column:
-    return F.concat(F.format_string("%.1f", x), F.lit("%"))
+    return F.when(x.isNotNull(), F.concat(F.format_string("%.1f", x), F.lit("%")))
 
 
 def correlation(x: Column, y: Column) -> Column:

@@ -39,11 +39,12 @@ def extrapolate(df: DataFrame, columns: list[str], horizon: int) -> DataFrame:
     return steps.select("area", "feature", "step", F.when(F.col("last") == 0, line).otherwise(clip(line, F.col("last") - room, F.col("last") + room)).alias("value"))
 
 
-def clamp(forecast: DataFrame, anchors: DataFrame, base: float = 0.40, per_step: float = 0.10) -> DataFrame:
-    """Forecasts held within anchor +- |anchor| (base + per_step i), i counting a series' forecasts from 0; rounded to 2."""
+def clamp(forecast: DataFrame, anchors: DataFrame, base: float = 0.40, per_step: float = 0.10, digits: int | None = 2) -> DataFrame:
+    """Forecasts held within anchor +- |anchor| (base + per_step i), i counting a series' forecasts from 0; rounded to `digits`."""
     rows = forecast.join(anchors.select("area", "anchor"), "area", "left").withColumn("i", F.row_number().over(Window.partitionBy("area", "model").orderBy("year")) - 1)
     room = F.abs("anchor") * (F.lit(base) + F.lit(per_step) * F.col("i"))
-    return rows.withColumn("forecast", F.round(clip(F.col("forecast"), F.col("anchor") - room, F.col("anchor") + room), 2)).drop("anchor", "i")
+    held = clip(F.col("forecast"), F.col("anchor") - room, F.col("anchor") + room)
+    return rows.withColumn("forecast", held if digits is None else F.round(held, digits)).drop("anchor", "i")
 
 
 def residual_bootstrap(forecast: DataFrame, residuals: DataFrame, draws: int = 200, coverage: float = 0.9, seed: int = 42) -> DataFrame:

@@ -294,10 +294,10 @@ def _(spark, d):
     return features.scale(demand(spark, d), ["demand"], TRAIN)
 
 
-@query("e16_sliding_windows", [P1, DEMAND], "SELECT area, year, round(list_sum(x), 2) AS x_sum, len(x) AS n, round(y, 4) AS y FROM (SELECT area, year, demand AS y, list(demand) OVER (PARTITION BY area ORDER BY year ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS x FROM demand) WHERE len(x) = 5")
+@query("e16_sliding_windows", [P1, DEMAND], "SELECT area, year, round(list_sum(x), 4) AS x_sum, len(x) AS n, round(y, 4) AS y FROM (SELECT area, year, demand AS y, list(demand) OVER (PARTITION BY area ORDER BY year ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS x FROM demand) WHERE len(x) = 5")
 def _(spark, d):
     found = features.sliding_windows(demand(spark, d), ["demand"], "demand", 5)
-    return found.select("area", "year", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v[0]), 2).alias("x_sum"), F.size("x").cast("bigint").alias("n"), "y")
+    return found.select("area", "year", F.aggregate("x", F.lit(0.0), lambda s, v: s + v[0]).alias("x_sum"), F.size("x").cast("bigint").alias("n"), "y")
 
 
 @query("feature_matrix")
@@ -527,7 +527,7 @@ def _(spark, d):
     return trend(spark, d)
 
 
-@query("j3_persistence", [P1, DEMAND], "SELECT area, 'Persistence' AS model, CAST(2024 + h AS INT) AS year, round(demand, 4) AS forecast FROM demand, range(1, 7) t(h) WHERE year = 2024")
+@query("j3_persistence", [P1, DEMAND], "SELECT area, 'Persistence' AS model, CAST(last + h AS INT) AS year, round(f, 4) AS forecast FROM (SELECT area, max(year) AS last, max_by(demand, year) AS f FROM demand WHERE year <= 2024 GROUP BY area), range(1, 7) t(h)")
 def _(spark, d):
     return forecast.persistence(demand(spark, d, TEST), "demand", 6)
 
@@ -561,9 +561,9 @@ def _(spark, d):
     return forecast.extrapolate(wide(spark, d, months), ["URGENT", "LOW"], 3)
 
 
-@query("j15_clamp", [*_BASE, ANCHORS], "SELECT area, model, year, round(least(greatest(f, anchor - abs(anchor) * (0.4 + 0.1 * i)), anchor + abs(anchor) * (0.4 + 0.1 * i)), 2) AS forecast FROM (SELECT t.area, model, year, y_pred AS f, anchor, row_number() OVER (PARTITION BY t.area, model ORDER BY year) - 1 AS i FROM test t JOIN anchors USING (area))")
+@query("j15_clamp", [*_BASE, ANCHORS], "SELECT area, model, year, round(least(greatest(f, anchor - abs(anchor) * (0.4 + 0.1 * i)), anchor + abs(anchor) * (0.4 + 0.1 * i)), 4) AS forecast FROM (SELECT t.area, model, year, y_pred AS f, anchor, row_number() OVER (PARTITION BY t.area, model ORDER BY year) - 1 AS i FROM test t JOIN anchors USING (area))")
 def _(spark, d):
-    return forecast.clamp(as_forecast(spark, d), anchors(spark, d))
+    return forecast.clamp(as_forecast(spark, d), anchors(spark, d), digits=None)
 
 
 _BOOT = """res AS (SELECT area, y_actual - y_pred AS error, row_number() OVER (PARTITION BY area ORDER BY year) - 1 AS k, count(*) OVER (PARTITION BY area) AS n FROM test WHERE model = 'MA3'),
@@ -680,10 +680,10 @@ def _(spark, d):
     return serving.area_forecast(trend(spark, d), _area(spark, d).lower())
 
 
-@query("k2_histories", [P1, DEMAND], "SELECT area, count(*) AS n, min(year) AS first_year, round(sum(demand), 2) AS total FROM demand GROUP BY area")
+@query("k2_histories", [P1, DEMAND], "SELECT area, count(*) AS n, min(year) AS first_year, round(sum(demand), 4) AS total FROM demand GROUP BY area")
 def _(spark, d):
     found = serving.histories(demand(spark, d), "demand")
-    return found.select("area", F.size("points").cast("bigint").alias("n"), F.get("points", F.lit(0))["year"].alias("first_year"), F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p["value"]), 2).alias("total"))
+    return found.select("area", F.size("points").cast("bigint").alias("n"), F.get("points", F.lit(0))["year"].alias("first_year"), F.aggregate("points", F.lit(0.0), lambda s, p: s + p["value"]).alias("total"))
 
 
 @query("k3_subcategory_series", [P1], f"SELECT subcategory, year, unit, round(avg(value), 4) AS value FROM p1 WHERE area = {_AREA} GROUP BY ALL")
@@ -700,10 +700,10 @@ def _(spark, d):
     return serving.scatter(wide(spark, d), "URGENT", "LOW", _PERIODS)
 
 
-@query("k5_model_paths", _BASE, f"SELECT model, count(*) AS n, round(sum(y_pred), 2) AS total FROM test WHERE area = {_AREA} GROUP BY model")
+@query("k5_model_paths", _BASE, f"SELECT model, count(*) AS n, round(sum(y_pred), 4) AS total FROM test WHERE area = {_AREA} GROUP BY model")
 def _(spark, d):
     found = serving.model_paths(as_forecast(spark, d), _area(spark, d))
-    return found.select("model", F.size("points").cast("bigint").alias("n"), F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p["forecast"]), 2).alias("total"))
+    return found.select("model", F.size("points").cast("bigint").alias("n"), F.aggregate("points", F.lit(0.0), lambda s, p: s + p["forecast"]).alias("total"))
 
 
 @query("k6_area_metrics", [*_BASE, METRICS], f"SELECT m.area, m.model, round(m.mae, 4) AS mae, round(m.rmse, 4) AS rmse, round(m.mape, 4) AS mape, b.model IS NOT NULL AS best FROM metrics m LEFT JOIN best b ON m.area = b.area AND m.model = b.model WHERE m.area = {_AREA}")
@@ -731,6 +731,33 @@ def _(spark, d):
     return serving.with_events(demand(spark, d), [(2008, "crisis"), (2020, "pandemic")]).select("area", "year", "demand", "event")
 
 
+@query("g4_first_per_key", [P1], "SELECT area, year, subcategory, round(value, 4) AS value FROM p1 QUALIFY row_number() OVER (PARTITION BY area, year ORDER BY value DESC, subcategory) = 1")
+def _(spark, d):
+    return reshape.first_per_key(quarters(spark, d), ["area", "year"], [F.col("value").desc(), F.col("subcategory")]).drop("unit")
+
+
+@query("b9_full_lags", [P1, _WIDE1], 'SELECT * FROM (SELECT area, year, round(lag("URGENT", 1) OVER w, 4) AS "URGENT_lag1", round(lag("URGENT", 2) OVER w, 4) AS "URGENT_lag2", round(lag("URGENT", 3) OVER w, 4) AS "URGENT_lag3" FROM wide WINDOW w AS (PARTITION BY area ORDER BY year)) WHERE "URGENT_lag1" IS NOT NULL AND "URGENT_lag2" IS NOT NULL AND "URGENT_lag3" IS NOT NULL')
+def _(spark, d):
+    found = features.lag_features(wide(spark, d).select("area", "year", "URGENT"), ["URGENT"])
+    return reshape.drop_null_lags(found).select("area", "year", "URGENT_lag1", "URGENT_lag2", "URGENT_lag3")
+
+
+@query("b13_finite_metrics", [*_BASE, METRICS], "SELECT area, model, round(mape, 4) AS mape FROM metrics WHERE mape IS NOT NULL AND mape < 'inf'::DOUBLE")
+def _(spark, d):
+    return test_metrics(spark, d).select("area", "model", F.when(col.finite(F.col("mape")).isNotNull(), F.col("mape")).alias("mape")).where("mape is not null")
+
+
+@query("h11_signed_errors", _BASE, "SELECT area, year, model, round((y_pred - y_actual) / nullif(y_actual, 0) * 100, 4) AS error_pct FROM test")
+def _(spark, d):
+    return log(spark, d).select("area", "year", "model", col.error_pct(F.col("y_pred"), F.col("y_actual")).alias("error_pct"))
+
+
+@query("c8_deep_robustness", [*_BASE, METRICS, ANCHORS, _ROBUST], "SELECT area, model, round(mape, 4) AS mape, robustness_flag, max_deviation_pct, coalesce(robustness_flag IN ('WATCH', 'UNSTABLE'), false) AS conflict FROM (SELECT * FROM metrics WHERE model LIKE 'MA%' AND mape IS NOT NULL QUALIFY row_number() OVER (PARTITION BY area ORDER BY mape, model) = 1) LEFT JOIN robust USING (area, model)")
+def _(spark, d):
+    deep = test_metrics(spark, d).where("model like 'MA%'")
+    return robustness.conflicts(metrics.best_models(deep), robustness.robustness(as_forecast(spark, d).where("model like 'MA%'"), anchors(spark, d)))
+
+
 def queries() -> dict[str, Callable]:
     return dict(_queries)
 
