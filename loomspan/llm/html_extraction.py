@@ -182,39 +182,42 @@ def templates(signs: DataFrame, min_support: float = MIN_SUPPORT, min_pages: int
     return nested.join(best, "host", "full_outer")
 
 
+def _own_region(found: list[tuple[str, str, bool, str]]) -> int | None:
+    """The page's own article, else main element."""
+    for name in ("article", "main"):
+        for kind, path, dropped, payload in found:
+            if kind == "tag" and payload == name and not dropped:
+                return _code(path)
+    return None
+
+
 def _extract(page: str | None, template: set[int], region: int | None) -> str:
-    """The text of the slots in the content region. Text blocks that the template itself holds are no slots, unless they stand in an article."""
+    """The text of the slots in the content region.
+
+    Where the region is no more than the whole body, text blocks that the template
+    itself holds are no slots; inside an article or another region all is content,
+    for an article may well repeat a line that others have."""
     found = list(tokens(page))
-    inside: dict[str, bool] = {}
-
-    def within(path: str) -> bool:
-        if path not in inside:
-            step, hit = path, region is None
-            while step and not hit:
-                hit = _code(step) == region
-                step = step.rpartition("/")[0]
-            inside[path] = hit
-        return inside[path]
-
-    if region is not None and not any(kind == "tag" and within(path) for kind, path, _, _ in found):
-        region = None
-        inside.clear()
-        for name in ("article", "main"):
-            own = [path for kind, path, dropped, payload in found if kind == "tag" and not dropped and payload == name]
-            if own:
-                region = _code(own[0])
-                break
-    elif region is None:
-        for name in ("article", "main"):
-            own = [path for kind, path, dropped, payload in found if kind == "tag" and not dropped and payload == name]
-            if own:
-                region = _code(own[0])
-                inside.clear()
-                break
+    codes: dict[str, int] = {}
+
+    def holder(path: str) -> str | None:
+        """The region's path if this path lies in it."""
+        step = path
+        while step:
+            if step not in codes:
+                codes[step] = _code(step)
+            if codes[step] == region:
+                return step
+            step = step.rpartition("/")[0]
+        return None
+
+    if region is None or not any(kind == "tag" and holder(path) for kind, path, _, _ in found):
+        region = _own_region(found)
     out = []
     for kind, path, dropped, payload in found:
-        if kind == "text" and not dropped and within(path):
-            if "/article" in path or "/main" in path or _code(kind, path, payload) not in template:
+        if kind == "text" and not dropped:
+            at = "" if region is None else holder(path)
+            if at is not None and (at.rpartition("/")[2].split(".")[0] not in ("", "body", "html") or _code(kind, path, payload) not in template):
                 out.append(payload)
     return "\n".join(out)
 
