@@ -23,7 +23,8 @@ CHAR_CLASSES = ["[a-z]", "[\\x20\\x09-\\x0D]", "[A-Z]", "[.,]", "[0-9]", "[!?;:'
 MIN_WORDS = 10
 MIN_CHARS_CHAR = 250  # below this length a text's character classes are not judged
 MIN_WORDS_WORD = 100  # below this length its common words are not
-MAX_CHAR_DISTANCE = 0.18
+MAX_CHAR_DISTANCE = 0.16
+CHAR_NOISE = 1.0  # allowed on top, divided by the root of the length: short texts stray by chance
 MAX_WORD_DISTANCE = 0.24
 
 
@@ -130,8 +131,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     by_char = F.when(F.col("n_chars") >= MIN_CHARS_CHAR, distance(F.col("p"), F.col("ref_p")))
     by_word = F.when((F.col("n_words") >= MIN_WORDS_WORD) & (F.size("common") > 0), distance(F.col("w"), F.col("ref_w")))
-    judged = judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), by_char.alias("char_distance"), by_word.alias("word_distance"))
-    far = (F.coalesce("char_distance", F.lit(0.0)) > max_char) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
+    judged = judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", base.alias("base_failed"), by_char.alias("char_distance"), by_word.alias("word_distance"))
+    far = (F.coalesce("char_distance", F.lit(0.0)) > max_char + CHAR_NOISE / F.sqrt("n_chars")) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance")
 
 
