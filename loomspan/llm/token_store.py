@@ -15,6 +15,7 @@ fingerprint tells a foreign key from an own one.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -142,7 +143,7 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     tokenizer = tokenizer or tokenizer_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    path = path or f"{shared_dir(spark)}/tokens-{spark.sparkContext.applicationId}-{id(rows)}"
+    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     payload, _ = stored(rows.mapInArrow(_encode_shards(tokenizer, end_id), PAYLOAD), f"{path}/payload", compression="zstd")
     entries = payload.select("shard", F.explode(F.arrays_zip("doc_ids", "ranks", "offsets", "lengths")).alias("e"))
     n = payload.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
