@@ -30,14 +30,23 @@ def diebold_mariano(rows: DataFrame, keys: tuple[str, ...] = ("area", "model_a",
     return g.withColumn("dm_ok", F.coalesce(var > 0, F.lit(False))).withColumn("dm_stat", F.when(F.col("dm_ok"), F.col("mean") / F.sqrt(F.when(var > 0, var)))).fillna(0.0, ["dm_stat"]).select(*keys, "n", "dm_ok", "dm_stat")
 
 
-def signed_ranks(rows: DataFrame, keys: tuple[str, ...] = ("area", "model_a", "model_b"), a: str = "ea", b: str = "eb") -> DataFrame:
+def signed_ranks(rows: DataFrame, keys: tuple[str, ...] = ("area", "model_a", "model_b"), a: str = "ea", b: str = "eb", spread: bool = False) -> DataFrame:
     """Wilcoxon's sums per pair on |a| - |b|, zeros left out: n_nonzero, w_plus, w_minus, w (the lesser) and ties (sum of t^3 - t).
 
-    Equal absolute differences are counted first, so the window runs over distinct values, not rows."""
+    Equal absolute differences are counted first, so the window runs over distinct values, not rows.
+    With spread, few keys may hold all rows: values are ranked within 64 parts of each octave, and a
+    small table says how many lie in the parts below."""
     diff = F.round(F.abs(F.col(a)) - F.abs(F.col(b)), 9)
     d = rows.select(*keys, diff.alias("d"))
     values = d.where("d <> 0").groupBy(*keys, F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    below = F.sum("t").over(Window.partitionBy(*keys).orderBy("size")) - F.col("t")
+    if spread:
+        values = values.withColumn("part", F.floor(F.log2("size") * 64).cast("int"))
+        sizes = values.groupBy(*keys, "part").agg(F.sum("t").alias("n"))
+        base = sizes.select(*keys, "part", (F.sum("n").over(Window.partitionBy(*keys).orderBy("part")) - F.col("n")).alias("base"))
+        values = values.withColumn("within", F.sum("t").over(Window.partitionBy(*keys, "part").orderBy("size")) - F.col("t")).join(base, [*keys, "part"])
+        below = F.col("base") + F.col("within")
+    else:
+        below = F.sum("t").over(Window.partitionBy(*keys).orderBy("size")) - F.col("t")
     ranked = values.withColumn("rank", below + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum("t").alias("n_nonzero"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("w_minus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
     all_ = d.select(*keys).distinct().join(sums, list(keys), "left").fillna(0)
@@ -70,27 +79,35 @@ def significance_summary(tests: DataFrame) -> DataFrame:
     return tests.groupBy("area").agg(F.count("*").alias("total_pairs"), F.count_if("significant_dm").alias("significant_dm"), F.count_if("significant_wx").alias("significant_wx"), F.coalesce(F.bool_or(F.col("significant_dm") | F.col("significant_wx")), F.lit(False)).alias("any_significant"))
 
 
+def pct_pairs(log: DataFrame) -> DataFrame:
+    """(area, year, model_a, model_b, ea, eb) of signed percentage errors; pairs meet on (area, year), so a model missing a year loses that year only."""
+    slim = log.select("area", "year", "model", error_pct(F.col("y_pred"), F.col("y_actual")).alias("e")).where("e is not null")
+    a = slim.select("area", "year", F.col("model").alias("model_a"), F.col("e").alias("ea"))
+    return a.join(slim.select("area", "year", F.col("model").alias("model_b"), F.col("e").alias("eb")), ["area", "year"]).where("model_a < model_b")
+
+
 def hln(log: DataFrame, pooled: bool = False, horizon: int = 1) -> DataFrame:
     """Diebold-Mariano with the small-sample correction of Harvey, Leybourne and Newbold, on signed percentage errors.
 
-    Per area and pair, or pooled over areas; pairs meet on (area, year), so a model
-    missing a year loses that year only. n below 2: null. The pooled groups are few
-    and hold all rows, so for horizon 1 they are plain aggregates."""
+    Per area and pair, or pooled over areas; n below 2: null. The pooled groups are
+    few and hold all rows, so for horizon 1 they are plain aggregates."""
     keys = ["model_a", "model_b"] if pooled else ["area", "model_a", "model_b"]
-    slim = log.select("area", "year", "model", error_pct(F.col("y_pred"), F.col("y_actual")).alias("e")).where("e is not null")
-    a = slim.select("area", "year", F.col("model").alias("model_a"), F.col("e").alias("ea"))
-    both = a.join(slim.select("area", "year", F.col("model").alias("model_b"), F.col("e").alias("eb")), ["area", "year"]).where("model_a < model_b")
-    d = both.withColumn("d", F.col("ea") * F.col("ea") - F.col("eb") * F.col("eb"))
+    d = pct_pairs(log).withColumn("d", F.col("ea") * F.col("ea") - F.col("eb") * F.col("eb"))
     lags = range(1, horizon)
     w = Window.partitionBy(*keys).orderBy("area", "year")
     for k in lags:
         d = d.withColumn(f"d{k}", F.lag("d", k).over(w))
-    g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.var_pop("d").alias("g0"), *[F.coalesce(F.covar_pop("d", f"d{k}"), F.lit(0.0)).alias(f"g{k}") for k in lags])
-    var = F.greatest((F.col("g0") + 2 * sum((F.col(f"g{k}") for k in lags), F.lit(0.0))) / F.col("n"), F.lit(1e-12))
+    g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.var_samp("d").alias("g0"), *[F.coalesce(F.covar_samp(F.when(F.col(f"d{k}").isNotNull(), F.col("d")), F.col(f"d{k}")), F.lit(0.0)).alias(f"g{k}") for k in lags])
+    var = F.greatest(F.col("g0") + 2 * sum((F.col(f"g{k}") for k in lags), F.lit(0.0)), F.lit(1e-12)) / F.col("n")
     n, h = F.col("n").cast("double"), float(horizon)
     factor = F.sqrt(F.greatest((n + 1 - 2 * h + h * (h - 1) / n) / n, F.lit(0.0)))
     return g.select(*keys, "n", F.when(F.col("n") >= 2, F.col("mean") / F.sqrt(var) * factor).alias("hln_stat"))
 
 
 def hln_tests(log: DataFrame, pooled: bool = False, horizon: int = 1) -> DataFrame:
-    return hln(log, pooled, horizon).withColumn("hln_p", p_student(F.col("hln_stat"), F.col("n") - 1))
+    """hln with p-values, and Wilcoxon on the absolute percentage errors (null under two differences)."""
+    keys = ["model_a", "model_b"] if pooled else ["area", "model_a", "model_b"]
+    ranks = signed_ranks(pct_pairs(log), tuple(keys), spread=pooled)
+    few = F.col("n_nonzero") < 2
+    ranks = ranks.select(*keys, F.when(~few, F.col("w")).alias("wx_stat"), F.when(~few, p_wilcoxon(F.col("w"), F.col("n_nonzero"), F.col("ties"))).alias("wx_p"))
+    return hln(log, pooled, horizon).withColumn("hln_p", p_student(F.col("hln_stat"), F.col("n") - 1)).join(ranks, keys, "left")

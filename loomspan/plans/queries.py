@@ -465,7 +465,7 @@ def _(spark, d):
 
 
 _HLN = "he AS (SELECT area, year, model, (y_pred - y_actual) / nullif(y_actual, 0) * 100 AS e FROM test), hd AS (SELECT a.area, a.model AS model_a, b.model AS model_b, a.e * a.e - b.e * b.e AS d FROM he a JOIN he b ON a.area = b.area AND a.year = b.year AND a.model < b.model WHERE a.e IS NOT NULL AND b.e IS NOT NULL)"
-_HLN_STAT = "count(*) AS n, round(CASE WHEN count(*) >= 2 THEN avg(d) / sqrt(greatest(var_pop(d) / count(*), 1e-12)) * sqrt((count(*) - 1.0) / count(*)) END, 4) AS hln_stat"
+_HLN_STAT = "count(*) AS n, round(CASE WHEN count(*) >= 2 THEN avg(d) / sqrt(greatest(var_samp(d), 1e-12) / count(*)) * sqrt((count(*) - 1.0) / count(*)) END, 4) AS hln_stat"
 
 
 @query("j13_hln_by_area", [*_BASE, _HLN], f"SELECT area, model_a, model_b, {_HLN_STAT} FROM hd GROUP BY area, model_a, model_b")
@@ -478,6 +478,14 @@ def _(spark, d):
     return significance.hln(log(spark, d), pooled=True)
 
 
+_WXP = _WX.replace("FROM pairs)", "FROM (SELECT a.model AS model_a, b.model AS model_b, a.e AS ea, b.e AS eb FROM he a JOIN he b ON a.area = b.area AND a.year = b.year AND a.model < b.model WHERE a.e IS NOT NULL AND b.e IS NOT NULL))").replace("area, model_a", "model_a")
+
+
+@query("j13_pooled_ranks", [*_BASE, _HLN, _WXP], "SELECT model_a, model_b, n_nonzero, w_plus, w_minus, ties, least(w_plus, w_minus) AS w FROM ws")
+def _(spark, d):
+    return significance.signed_ranks(significance.pct_pairs(log(spark, d)), ("model_a", "model_b"), spread=True)
+
+
 @query("j13_hln_tests")
 def _(spark, d):
     return significance.hln_tests(log(spark, d), pooled=True)

@@ -88,7 +88,10 @@ def test_significance(spark):
     same = [(a, y, m, t, t + 1) for a, y, m, t, _ in TESTLOG]
     row = significance.significance_tests(log(spark, same)).first()
     assert (row["dm_stat"], row["dm_p"], row["wx_p"]) == (0, 1, 1)
-    assert significance.hln_tests(log(spark, TESTLOG), pooled=True).first()["n"] == 4
+    row = significance.hln_tests(log(spark, TESTLOG), pooled=True).first()
+    e = {m: np.array([(p - t) / t * 100 for _, _, k, t, p in TESTLOG if k == m]) for m in ("Naive", "Ridge")}
+    d = e["Naive"] ** 2 - e["Ridge"] ** 2
+    assert row["n"] == 4 and math.isclose(row["hln_stat"], d.mean() / math.sqrt(d.var(ddof=1) / 4) * math.sqrt(3 / 4)) and math.isclose(row["wx_p"], 0.125)
 
 
 def test_p_values():
