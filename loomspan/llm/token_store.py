@@ -5,7 +5,7 @@ Spark writes to and a lost executor leaves no half file:
 
 payload/  shard, block, payload (ids as raw little-endian 16 or 32-bit integers),
           doc_ids, ranks, offsets (first id within the shard), lengths
-index/    bucket, seeds, prints, shards, offsets, lengths (binary arrays by slot)
+index/    bucket, buckets, seeds, prints, shards, offsets, lengths (binary arrays by slot)
 
 Shards hold ascending doc_id ranges. A key is (doc_id, rank), rank counting the
 rows of one doc_id. Keys are dealt to buckets of a few thousand; each bucket's
@@ -37,7 +37,7 @@ TEXTS = 2048  # texts that are encoded at once
 _U = np.uint64
 
 PAYLOAD = "shard int, block int, width int, payload binary, doc_ids array<long>, ranks array<int>, offsets array<long>, lengths array<long>"
-INDEX = "bucket long, seeds binary, prints binary, shards binary, offsets binary, lengths binary"
+INDEX = "bucket long, buckets long, seeds binary, prints binary, shards binary, offsets binary, lengths binary"
 _payload_arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("width", pa.int32()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 
 
@@ -119,7 +119,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     seeds, slot = perfect_hash(k1, k2)
     place = np.argsort(slot)
     raw = lambda c, t: pdf[c].to_numpy()[place].astype(t).tobytes()
-    return pd.DataFrame([{"bucket": pdf["bucket"].iloc[0], "seeds": seeds.tobytes(), "prints": _prints(k1, k2)[place].tobytes(), "shards": raw("shard", "<i4"), "offsets": raw("offset", "<i8"), "lengths": raw("length", "<i8")}])
+    return pd.DataFrame([{"bucket": pdf["bucket"].iloc[0], "buckets": pdf["buckets"].iloc[0], "seeds": seeds.tobytes(), "prints": _prints(k1, k2)[place].tobytes(), "shards": raw("shard", "<i4"), "offsets": raw("offset", "<i8"), "lengths": raw("length", "<i8")}])
 
 
 def _find(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +149,7 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     n = payload.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
     keyed = entries.select("shard", F.col("e.offsets").alias("offset"), F.col("e.lengths").alias("length"), *_hashes("e.doc_ids", "e.ranks"))
     buckets = max(1, -(-n // BUCKET))
-    keyed = keyed.withColumn("bucket", F.pmod("k1", F.lit(buckets)))
+    keyed = keyed.withColumns({"bucket": F.pmod("k1", F.lit(buckets)), "buckets": F.lit(buckets).cast("long")})
     stored(keyed.groupBy("bucket").applyInPandas(_build, INDEX), f"{path}/index")
     return path
 
@@ -157,7 +157,8 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """(doc_id, rank, shard, offset, length) of those keys (doc_id, rank) that the store has: one bucket's function each, in constant time a key."""
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
-    buckets = max(1, index.count())
+    some = index.select("buckets").first()
+    buckets = some["buckets"] if some else 1
     keys = keys.select(F.col("doc_id").cast("long"), F.col("rank").cast("int"))
     keys = keys.select(F.col("doc_id").cast("string"), "rank", *_hashes("doc_id", "rank")).withColumn("bucket", F.pmod("k1", F.lit(buckets)))
     found = keys.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_find, "doc_id string, rank int, shard int, offset long, length long")
