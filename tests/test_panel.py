@@ -186,3 +186,44 @@ def test_reads(spark):
     assert {r["metric"]: r["value"] for r in stats.quality_report(df.union(df)).collect()}["duplicates"] == 3
     diff = metrics.differences(df, df.withColumn("demand", F.col("demand") * 2), ["area", "year"])
     assert {r["issue"]: r["n"] for r in diff.collect()} == {"differs: demand": 3}
+
+
+def test_ranks_and_conflicts(spark):
+    found = spark.createDataFrame([("a", m, d, "STABLE" if d <= 20 else "WATCH") for m, d in zip("wxyz", (50.0, 10.0, 20.0, 30.0))], "area string, model string, max_deviation_pct double, robustness_flag string")
+    scores = spark.createDataFrame([("a", "w", 1.0), ("a", "x", 2.0), ("a", "y", 3.0)], "area string, model string, mape double")
+    rows = {r["model"]: r for r in robustness.against_accuracy(found, scores).collect()}
+    assert (rows["w"]["accuracy_rank"], rows["w"]["robustness_rank"], rows["w"]["axes_agree"]) == (1, 4, False)
+    assert rows["z"]["accuracy_rank"] is None and not rows["z"]["axes_agree"] and rows["x"]["axes_agree"]
+    flags = ["WATCH", "UNSTABLE", "WATCH", "WATCH", "UNSTABLE", "STABLE", None]
+    best = spark.createDataFrame([(f"a{i}", "m", 1.0) for i in range(7)], "area string, model string, mape double")
+    rob = spark.createDataFrame([(f"a{i}", "m", f, 1.0) for i, f in enumerate(flags) if f], "area string, model string, robustness_flag string, max_deviation_pct double")
+    assert robustness.conflict_count(robustness.conflicts(best, rob)).first()[:] == (5, 7)
+
+
+def test_metadata_and_windows(spark):
+    df = features.lag_features(frame(spark, [t**1.5 for t in range(25)], "demand").withColumn("other", F.col("demand") * 2 + F.col("year")), ["demand", "other"])
+    doc = prepare.metadata(df, "demand", ["demand", "other"], 2016, 2020, 2024)
+    assert doc["countries"] == ["a"] and "other_lag1" in doc["all_features"] and not any(c.startswith(("demand_lag", "demand_ma")) for c in doc["all_features"])
+    got = features.sliding_windows(df, ["demand", "other"], "demand", 5)
+    assert got.count() == 20 and len(got.orderBy("year").first()["x"]) == 5
+    assert features.sliding_windows(df.where("year < 2006"), ["demand"], "demand", 5).count() == 0
+    scaled = np.array(column(features.scale(frame(spark, [1, 2, 3, 40]), ["x"], 2002)))
+    assert np.allclose(scaled, (np.array([1, 2, 3, 40]) - 2) / math.sqrt(2 / 3))
+
+
+def test_ridge_tuning_is_the_closed_form(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 2))
+    y = x @ [2.0, -1.0] + 1 + rng.normal(size=40) * 0.1
+    df = spark.createDataFrame([("a", 2000 + i // 2, float(a), float(b), float(t)) for i, ((a, b), t) in enumerate(zip(x, y))], "area string, year int, p double, q double, demand double")
+    got = {r["alpha"]: r["mae"] for r in walkforward.tune_ridge(df, ["p", "q"], "demand", 2019, alphas=(0.1, 100.0)).collect()}
+    year, want = 2000 + np.arange(40) // 2, {}
+    for a in got:
+        folds = []
+        for lo, hi in ((2005, 2010), (2010, 2015), (2015, 2020)):
+            z = np.column_stack([np.ones(40), x])
+            t, v = year < lo, (year >= lo) & (year < hi)
+            w = np.linalg.solve(z[t].T @ z[t] + np.diag([1e-9, a, a]), z[t].T @ y[t])
+            folds.append(np.abs(y[v] - z[v] @ w).mean())
+        want[a] = np.mean(folds)
+    assert all(math.isclose(got[a], want[a], rel_tol=1e-9) for a in got) and got[0.1] < got[100.0]
