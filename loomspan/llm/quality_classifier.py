@@ -127,10 +127,9 @@ def marginals(doc: np.ndarray, good: np.ndarray, move: np.ndarray, gold: np.ndar
     return p, excess
 
 
-def fit(texts: list[str], labels: list[int]) -> dict:
-    """The model: feature means and spreads, weights, moves, and the score of a text without a line (the share of good ones)."""
-    data, offsets = _bytes(pa.array(texts, pa.string()))
-    doc, _, raw = line_features(data, offsets)
+def fit(doc: np.ndarray, raw: np.ndarray, labels: np.ndarray) -> dict:
+    """The model, from lines (their document's number, ascending, and features) and each document's label: feature means
+    and spreads, weights, moves, and the score of a text without a line (the share of good documents)."""
     gold_doc = np.asarray(labels, int)
     prior = float(gold_doc.mean()) if len(gold_doc) else 0.5
     mean, spread = (raw.mean(axis=0), raw.std(axis=0) + 1e-6) if len(raw) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
@@ -160,6 +159,16 @@ def scores(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line features of training documents, made where the texts are; the driver gets numbers only."""
+    for batch in batches:
+        found = []
+        for i in range(batch.num_rows):
+            _, _, raw = line_features(*_bytes(batch.column(1).slice(i, 1)))
+            found.append(raw.astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "y", "lines"])
+
+
 def _scoring(model: dict, step: int = 4 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +193,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from at most `most` labelled documents that are not held out (those with the smallest id hashes)."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max_by("text", F.coalesce(F.col("text"), F.lit(""))).alias("text"), F.max("y").alias("y"))
-    rows = texts.orderBy("doc_id").collect()
-    return fit([r["text"] or "" for r in rows], [r["y"] for r in rows])
+    # at most `most` ids and labels
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+    rows = sorted((r["doc_id"], r["y"], r["lines"]) for r in texts.select("doc_id", "text", "y").mapInArrow(_lines, "doc_id long, y int, lines binary").toLocalIterator())
+    lines = [np.frombuffer(x, "<f4").reshape(-1, N_FEATURES) for _, _, x in rows]
+    doc = np.repeat(np.arange(len(rows)), [len(x) for x in lines]).astype(int)
+    return fit(doc, np.concatenate(lines).astype(float) if lines else np.zeros((0, N_FEATURES)), np.array([y for _, y, _ in rows], int))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCUMENTS) -> DataFrame:
