@@ -25,6 +25,7 @@ from .common import cut
 MIN_SUPPORT = 0.5  # of a host's pages, for a token of the template
 MIN_PAGES = 3  # with fewer pages a host has no template of its own
 SALTS = 32  # parts of one host's pages
+MOST_BROADCAST = 32 << 20  # bytes of templates
 # HTML elements by their part in a page, and words in class, id and role that mark what is not the article.
 BLOCKS = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -234,9 +235,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages.
 
+    The templates go to the pages by broadcast if their measured size is at most
+    most_broadcast bytes, so html isn't shuffled; beyond, by a salted join.
+
     text is the main text: blocks in page order joined by a line feed, "" for null
     or empty html. Hosts with under 3 pages, and null URLs, have no template; their
     pages are read by their own article or main element, else by all that isn't
@@ -244,9 +248,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     page = F.xxhash64("page_id", "url", F.crc32(F.coalesce(F.col("html"), F.lit("")).cast("binary"))).alias("page")
     signs = cut(rows.where("host is not null").select(page, "host", "html").mapInArrow(_signatures, f"page long, host string, {SIGNS}"))
-    # a host's pages in many parts, each with the host's one template row
-    found = templates(signs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "host", "template", "region")
+    found = cut(templates(signs))
+    size = found.agg(F.count("*") * 64 + F.coalesce(F.sum(F.size("template")) * 8, F.lit(0)) + F.coalesce(F.sum(F.length("host")), F.lit(0))).first()[0]
+    if size <= most_broadcast:
+        joined = rows.join(F.broadcast(found), "host", "left")
+    else:
+        # a host's pages in many parts, each with the host's one template row
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "host", "template", "region")
     id_type = dict(pages.dtypes)[id_col]
     return joined.mapInArrow(_texts, f"page_id {id_type}, url string, text string, n_chars long")
