@@ -14,10 +14,12 @@ def feature_matrix(long: DataFrame, values: list[str], target: str, train_until:
 
     One shuffle by area serves every window; statistics see training years only.
     Which two columns give ratios is decided by their training correlation with the
-    target: the one point where the plan needs a (one-row) answer to go on."""
+    target: the one point where the plan needs a (one-row) answer to go on. The dense
+    panel, small beside the raw rows, is persisted (memory, then disk), as bounds,
+    correlations and features all read it; spark.catalog.clearCache() lets it go."""
     columns = [clean_name(v) for v in values]
     wide = reshape.pivot_wide(long, values)
-    dense = reshape.densify(wide, areas).repartition("area")
+    dense = reshape.densify(wide, areas).repartition("area").persist()
     full = impute.impute(dense, columns, train_until)
     capped = impute.winsorise(full, impute.winsor_bounds(full, columns, train_until, factor), columns)
     top = [r["feature"] for r in features.top_correlated(capped, columns, target, 2, train_until).collect()]
