@@ -152,7 +152,7 @@ ROWS = "id long, n_words int, at int, size int, hash long, codes binary, raws bi
 _rows_arrow = pa.schema([("id", pa.int64()), ("n_words", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("codes", pa.binary()), ("raws", pa.binary())])
 
 
-def _template_windows(known: np.ndarray | None, step: int = 2 << 20):
+def _template_windows(known: np.ndarray | None, step: int = 1 << 20):
     """One row per window; with known (a bit filter of the other side's hashes), only those that may be there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

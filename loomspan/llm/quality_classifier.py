@@ -169,7 +169,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "y", "lines"])
 
 
-def _scoring(model: dict, step: int = 4 << 20):
+def _scoring(model: dict, step: int = 2 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _bytes(batch.column(1))
