@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import components, cut
 
 RADIUS = 3
@@ -250,9 +251,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sig.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest doc_id, once.
+def keep_one(docs: DataFrame, similarity: float = near_copies.SIMILARITY, shingle: int = near_copies.SHINGLE) -> DataFrame:
+    """docs with one document of each group of near copies: the one with the smallest doc_id, once.
 
-    Rows without a doc_id stay, as nothing can name them."""
-    kept = near_duplicates(docs, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
+    Near copies are texts of Jaccard similarity 0.8 or more over shingles of five
+    words, linked over each other. Their fingerprints lie about 10 of 64 bits apart
+    and up to 20, where bands of bits deal to blocks no more, so pairs are nominated
+    by the shingles themselves. Rows without a doc_id stay, as nothing can name them."""
+    kept = near_copies.groups(docs, shingle, similarity).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
