@@ -2,8 +2,9 @@
 
 Byte-level BPE encodes each pre-token (a word with the space before it, a run of
 digits or signs) on its own. Pre-tokens that a worker has met before come from a
-bounded memory; only new ones go to the library. The ids equal those of one call
-over the whole text (tested).
+bounded memory; only new ones go to the library. A text that holds an added token
+such as <|endoftext|> goes to the library whole. The ids equal those of one call
+over the whole text with the library's defaults (tested).
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.added_re2 = "|".join("".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in t) for t in added)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.spaced[[i for s, i in vocab.items() if s.startswith("Ġ")]] = True
@@ -80,6 +83,12 @@ class WordEncoder:
 
     def pieces(self, texts: list[str | None]) -> list[bytes]:
         """By pre-tokens."""
+        special = [i for i, text in enumerate(texts) if text and self.added and self.added.search(text)]
+        if special:
+            out = self.pieces([None if text and self.added.search(text) else text for text in texts])
+            for i, raw in zip(special, self.plain([texts[i] for i in special])):
+                out[i] = raw
+            return out
         cut = [self.find(text) if text else () for text in texts]
         new = set().union(*cut).difference(self.parts)
         if new:
@@ -100,6 +109,8 @@ class WordEncoder:
             self.words = {}
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        if self.added:
+            odd = odd | pc.match_substring_regex(texts, self.added_re2).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         offsets, flat = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         index, words = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
