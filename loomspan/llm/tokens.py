@@ -53,7 +53,7 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.added_re2 = "|".join("".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in t) for t in added)
+        self.added_texts = added
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.spaced[[i for s, i in vocab.items() if s.startswith("Ġ")]] = True
@@ -109,8 +109,8 @@ class WordEncoder:
             self.words = {}
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        if self.added:
-            odd = odd | pc.match_substring_regex(texts, self.added_re2).to_numpy(zero_copy_only=False)
+        for token in self.added_texts:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         offsets, flat = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         index, words = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
