@@ -510,13 +510,13 @@ def _(spark, d):
 @query("j5_tree_walk_forward")
 def _(spark, d):
     df, names = _matrix(spark, d)
-    return walkforward.tree_predictions(df, names, "demand", YEARS[-1:], trees=20)
+    return walkforward.tree_predictions(df, names, "demand", YEARS)
 
 
 @query("j6_feature_importance")
 def _(spark, d):
     df, names = _matrix(spark, d)
-    return walkforward.feature_importance(df, names, "demand", TRAIN, trees=30)
+    return walkforward.feature_importance(df, names, "demand", TRAIN)
 
 
 @query("j7_tuned_ridge")
@@ -548,7 +548,7 @@ def _(spark, d):
 @query("j8_recursive_forecast")
 def _(spark, d):
     df, names = _matrix(spark, d)
-    return forecast.recursive_forecast(df.where(F.col("year") <= TEST), names, "demand", 6, draws=50)
+    return forecast.recursive_forecast(df.where(F.col("year") <= TEST), names, "demand", 6)
 
 
 @query("j16_best_forecasts")
@@ -583,7 +583,7 @@ bv AS (SELECT dr.area, dr.model, dr.year, dr.forecast, dr.forecast + avg(error)
 @query("j11_residual_bootstrap", [*_BASE, FORECAST, _BOOT], "SELECT area, model, year, round(forecast, 4) AS forecast, round(least(quantile_cont(v, 0.05), forecast), 4) AS lower_90, round(greatest(quantile_cont(v, 0.95), forecast), 4) AS upper_90 FROM bv GROUP BY area, model, year, forecast")
 def _(spark, d):
     errors = metrics.with_errors(log(spark, d)).where("model = 'MA3'").select("area", "year", "error")
-    return forecast.residual_bootstrap(trend(spark, d), errors, draws=100)
+    return forecast.residual_bootstrap(trend(spark, d), errors)
 
 
 @query("c13_anchors", [P1, DEMAND, ANCHORS], f"SELECT area, {rs('anchor')} FROM anchors")
