@@ -244,11 +244,11 @@ def test_templates_and_slots(spark):
     docs = [
         (1, f"Some words before. {item}. And some behind it."),
         (2, item.replace("120", "95").replace("Anna", "Bertha").replace("Paris", "Rome")),
-        (3, item.replace("120 km", "95 km").replace("Anna", "Bertha")),  # one value stands for two
+        (3, item.replace("120 km", "95 km").replace("Anna", "Bertha")),  # one of two equal numbers changed: the windows of the rarer one are dropped
         (4, "A boat left the harbour at noon and drove 120 km before anyone saw that it had not stopped anywhere on the way"),
     ]
     got = {r["doc_id"]: r for r in decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
-    assert set(got) == {1, 2} and got[1]["n_changed"] == 0 and got[2]["n_changed"] == 3
+    assert set(got) == {1, 2, 3} and got[1]["n_changed"] == 0 and got[2]["n_changed"] == 3
 
 
 # --- classifier

@@ -1,9 +1,11 @@
 """The pipeline against its operators, one after the other, on whole small tables."""
 
 import corpus_pipeline
-from loomspan.llm import decontamination, quality_classifier, quality_rules, simhash
+from loomspan.llm import decontamination, quality_classifier, quality_rules
 from loomspan.llm.common import table
 
+from test_near_copies import slow_kept
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -14,7 +16,7 @@ def test_stages_take_effect(spark):
     for (name, stage), bad in zip(corpus_pipeline.STAGES[:-1], (
         lambda d: {r["doc_id"] for r in quality_rules.judge(d).where("not kept").collect()},
         lambda d: {r["doc_id"] for r in quality_classifier.score(d, table(spark, SF, "labels")).where("predicted = 0").collect()},
-        lambda d: {r["doc_id"] for r in simhash.near_duplicates(d).where("doc_id <> component_id").collect()},
+        lambda d: (lambda t: set(t) - slow_kept(t))({r["doc_id"]: r["text"] for r in d.collect()}),
         lambda d: {r["doc_id"] for r in decontamination.matches(d, table(spark, SF, "benchmark")).collect()},
     )):
         gone = bad(now)
