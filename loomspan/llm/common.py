@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: White space and words, as every operator here means them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+MOST_IDS = 1_000_000  # ids of 8 bytes that may be broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,23 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most: int = MOST_IDS) -> DataFrame:
+    """docs without the rows whose id gone names; rows with a null id stay.
+
+    gone is counted first: up to `most` ids go to the rows by broadcast, so that
+    texts don't move; more are joined by a shuffle."""
+    ids = cut(gone.where(F.col(id_col).isNotNull()).select(id_col).distinct())
+    n = ids.count()
+    if not n:
+        return docs
+    return docs.join(F.broadcast(ids) if n <= most else ids.hint("merge"), id_col, "left_anti")
+
+
+def among(docs: DataFrame, ids: DataFrame, n: int, id_col: str = "doc_id", most: int = MOST_IDS) -> DataFrame:
+    """The rows whose id is one of the n different ones of ids, in the same two ways."""
+    return docs.join(F.broadcast(ids) if n <= most else ids.hint("merge"), id_col, "left_semi")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, component): the smallest id that each id of edges (a, b) reaches.
 

@@ -26,6 +26,8 @@ MIN_WORDS_WORD = 100  # below this length its common words are not
 MAX_CHAR_DISTANCE = 0.16
 CHAR_NOISE = 1.0  # allowed on top, divided by the root of the length: short texts stray by chance
 MAX_WORD_DISTANCE = 0.24
+MOST_LANGUAGES = 10_000  # references that may be broadcast, under 300 bytes each
+MIN_REFERENCE = 20  # texts that a language's reference is made of, at least
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -65,13 +67,14 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, counted).otherwise(0).cast("long")
 
 
-def _counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, common: dict[str, list[str]]) -> DataFrame:
-    lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.alias("lang"))
+def _counts(docs: DataFrame, text_col: str, lang_col: str | None, common: dict[str, list[str]], name: str) -> DataFrame:
+    """docs with a struct of what is counted in each row's text."""
+    lang = F.col(lang_col) if lang_col else F.lit(None)
+    d = docs.select(F.struct(*map(F.col, docs.columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.cast("string").alias("lang"))
     words = F.array_remove(F.split(F.regexp_replace("text", "[\\x09-\\x0D]", " "), " "), "")
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     lists = F.create_map(*[c for k, ws in common.items() for c in (F.lit(k), F.array(*map(F.lit, ws)))])
-    d = d.select("doc_id", "lang", "text", words.alias("words"), lines.alias("lines"), F.try_element_at(lists, "lang").alias("common"))
+    d = d.select("row", "lang", "text", words.alias("words"), lines.alias("lines"), F.try_element_at(lists, "lang").alias("common"))
     rest, classes = F.col("text"), []
     for pattern in CHAR_CLASSES:
         less = F.regexp_replace(rest, pattern + "+", "")
@@ -80,8 +83,8 @@ def _counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, c
     classes.append(F.length(rest))
     known = sorted({w for ws in common.values() for w in ws})
     counted = let(F.filter("words", lambda w: w.isin(known)), lambda ws: F.transform("common", lambda k: F.size(F.filter(ws, lambda w: w == k)).cast("long")))
-    return d.select(
-        "doc_id", "lang",
+    counts = F.struct(
+        "lang",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -91,6 +94,7 @@ def _counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, c
         F.array(*[c.cast("long") for c in classes]).alias("chars"),
         F.coalesce(counted, F.array().cast("array<long>")).alias("common"),
     )
+    return d.select("row.*", counts.alias(name))
 
 
 def _shares(counts: Column, total: Column) -> Column:
@@ -104,39 +108,80 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
 
+def _base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > 20 * n_words)
+
+
+def _histograms(q: Callable[[str], Column]) -> tuple[Column, Column]:
+    """Shares of the character classes, and of the common words with one bin for all others."""
+    other = q("n_words") - F.aggregate(q("common"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return _shares(q("chars"), q("n_chars")), _shares(F.concat(q("common"), F.array(other)), q("n_words"))
+
+
+def references(found: DataFrame, name: str, common: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
+    """(all, ref_lang, ref_p, ref_w): a reference for each language with texts enough, and (all = 1) one of all texts together, from counts in column `name`."""
+    q = lambda c: F.col(f"{name}.{c}")
+    by_char, by_word = _histograms(q)
+    longest = max(map(len, common.values()), default=0) + 1
+    k = len(CHAR_CLASSES) + 1
+    typical = lambda c, i: F.percentile_approx(F.get(c, F.lit(i)), 0.5, 1000)
+    usual = found.where(~_base_failed(q("n_words"), q("n_repeat_words")) & (q("n_chars") >= MIN_CHARS_CHAR))
+    usual = usual.select(q("lang").alias("ref_lang"), by_char.alias("p"), by_word.alias("w"))
+    # the bins are fixed, so a language is one small row
+    profile = [F.array(*[typical("p", i) for i in range(k)]).alias("p"), F.array(*[typical("w", i) for i in range(longest)]).alias("w"), F.count("*").alias("n")]
+    refs = usual.rollup("ref_lang").agg(F.grouping_id().alias("all"), *profile).where(F.col("n") >= MIN_REFERENCE)
+    whole = lambda c: let(F.filter(c, lambda x: x.isNotNull()), lambda a: _shares(a, F.aggregate(a, F.lit(0.0), lambda t, x: t + x)))
+    return cut(refs.select("all", "ref_lang", whole(F.col("p")).alias("ref_p"), whole(F.col("w")).alias("ref_w")))
+
+
+def _judged(found: DataFrame, refs: DataFrame, name: str, max_char: float, max_word: float) -> DataFrame:
+    """found, whose column `name` holds the counts, with that column replaced by the counts and the verdict."""
+    q = lambda c: F.col(f"{name}.{c}")
+    by_char, by_word = _histograms(q)
+    pooled = refs.where("all = 1").first()
+    pooled_p = F.array(*map(F.lit, pooled["ref_p"])) if pooled else F.lit(None).cast("array<double>")
+    refs = refs.where("all = 0").drop("all")
+    few = refs.count() <= MOST_LANGUAGES
+    joined = found.join(F.broadcast(refs) if few else refs, q("lang").eqNullSafe(F.col("ref_lang")), "left")
+    char_distance = F.when(q("n_chars") >= MIN_CHARS_CHAR, distance(by_char, F.coalesce("ref_p", pooled_p)))
+    word_distance = F.when((q("n_words") >= MIN_WORDS_WORD) & (F.size(q("common")) > 0) & F.col("ref_w").isNotNull(), distance(by_word, F.col("ref_w")))
+    rest = [F.col(c) for c in found.columns if c != name]
+    counts = [q(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")]
+    base = _base_failed(q("n_words"), q("n_repeat_words")).alias("base_failed")
+    joined = joined.select(*rest, F.struct(*counts, base, char_distance.alias("char_distance"), word_distance.alias("word_distance")).alias(name))
+    far_char = F.coalesce(q("char_distance"), F.lit(0.0)) > max_char + CHAR_NOISE / F.sqrt(q("n_chars"))
+    far_word = F.coalesce(q("word_distance"), F.lit(0.0)) > max_word
+    return joined.withColumn(name, F.struct(f"{name}.*", (~q("base_failed") & ~far_char & ~far_word).alias("kept")))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", common: dict[str, list[str]] = COMMON_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
 
     Base rules: fewer than 10 words, or more than a fifth of the words in repeated
     5-word windows. Then the text's histogram of character classes, and that of its
     language's common words (with one bin for all others), are held against the
-    corpus's typical histograms for that language (each bin's median share, which
-    junk does not move) by Jensen-Shannon distance. Texts under the minimum length are not judged by that histogram
-    (distance null). A text in a language without a word list, or null, is judged
-    by characters only. Null texts have no words and fail the base rules. Repeated
-    rows are judged alike and stay; empty tables give empty results."""
-    found = cut(_counts(docs, id_col, text_col, lang_col, common))
-    wide = found.select("*", _shares(F.col("chars"), F.col("n_chars")).alias("p"), _shares(F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))), F.col("n_words")).alias("w"))
-    # one row per language and bin is all that is shuffled: the bins are fixed, so this is small
-    longest = max(map(len, common.values()), default=0) + 1
-    k = len(CHAR_CLASSES) + 1
-    typical = lambda c, i: F.percentile_approx(F.get(c, F.lit(i)), 0.5, 1000)
-    means = wide.where((F.col("n_chars") >= MIN_CHARS_CHAR) & (F.col("n_words") >= MIN_WORDS)).groupBy("lang").agg(
-        F.array(*[typical("p", i) for i in range(k)]).alias("ref_p"),
-        F.array(*[typical("w", i) for i in range(longest)]).alias("ref_w"),
-    )
-    whole = lambda c: let(F.filter(c, lambda x: x.isNotNull()), lambda a: _shares(a, F.aggregate(a, F.lit(0.0), lambda t, x: t + x)))
-    means = means.select(F.col("lang").alias("ref_lang"), whole(F.col("ref_p")).alias("ref_p"), whole(F.col("ref_w")).alias("ref_w"))
-    judged = wide.join(means, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    by_char = F.when(F.col("n_chars") >= MIN_CHARS_CHAR, distance(F.col("p"), F.col("ref_p")))
-    by_word = F.when((F.col("n_words") >= MIN_WORDS_WORD) & (F.size("common") > 0), distance(F.col("w"), F.col("ref_w")))
-    judged = judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", base.alias("base_failed"), by_char.alias("char_distance"), by_word.alias("word_distance"))
-    far = (F.coalesce("char_distance", F.lit(0.0)) > max_char + CHAR_NOISE / F.sqrt("n_chars")) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance")
-
-
-def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the documents that the rules reject. Rows without a doc_id are rejected only if no such row passes."""
-    bad = judge(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    language's reference by Jensen-Shannon distance. A reference is each bin's median
+    share over the language's texts that pass the base rules, so junk doesn't move
+    it. A language (or null) with fewer than MIN_REFERENCE such texts has none: its
+    texts are held against the characters of all languages together, and if those
+    are too few too, against nothing. Texts under the minimum length are not judged
+    by that histogram (distance null). A text in a language without a word list is
+    judged by characters only. Null and empty texts have no words and fail the base
+    rules; very long ones are counted whole. Repeated rows are judged alike and stay;
+    other columns are not read; empty tables give empty results."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.col(lang_col) if lang_col else F.lit(None)).cast("string").alias("lang"))
+    found = cut(_counts(rows, "text", "lang", common, "q").select("doc_id", "q"))
+    return _judged(found, references(found, "q", common), "q", max_char, max_word).select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")])
+
+
+def keep_good(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """docs without the rows that the rules reject.
+
+    Each row is judged on its own text, so null and repeated ids need no rule. Texts
+    are counted twice, once for the references and once in place for the verdict:
+    neither texts nor counts are shuffled or stored."""
+    name = "counts"
+    while name in docs.columns:
+        name += "_"
+    found = _counts(docs, "text", "lang", common, name)
+    return _judged(found, references(found, name, common), name, max_char, max_word).where(f"{name}.kept").select(*docs.columns)

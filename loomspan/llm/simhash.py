@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import components, cut
+from .common import components, cut, without
 
 RADIUS = 3
 SHINGLE = 3
@@ -64,30 +64,41 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within(plane: np.ndarray, group: np.ndarray, query: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each (lane group, query fingerprint): a word whose bit l is 1 if lane l lies within radius (at most 3).
+    """For each (lane group, query fingerprint): a word whose bit l is 1 if lane l lies within radius.
 
-    Distances grow in two carry-save counter words; what leaves them (4 or more)
-    sets the lane's dead bit. After every eight planes the groups with no lane left are abandoned."""
+    Distances grow in carry-save counter words, as many as the radius has bits; what
+    leaves them sets the lane's dead bit. After every eight planes lanes above the
+    radius die and groups with no lane left are abandoned."""
     n = len(group)
     out, live = np.zeros(n, _U), np.arange(n)
-    ones, twos, dead = np.zeros(n, _U), np.zeros(n, _U), np.zeros(n, _U)
+    counters, dead = [np.zeros(n, _U) for _ in range(max(1, radius.bit_length()))], np.zeros(n, _U)
     full = _U(0xFFFFFFFFFFFFFFFF)
     for p in range(64):
-        diff = plane[p][group] ^ (_U(0) - ((query >> _U(p)) & _U(1)))
-        carry = ones & diff
-        ones = ones ^ diff
-        dead |= twos & carry
-        twos = twos ^ carry
-        if radius < 3:
-            dead |= (twos & ones, twos, ones | twos)[2 - radius]
+        carry = plane[p][group] ^ (_U(0) - ((query >> _U(p)) & _U(1)))
+        for k, word in enumerate(counters):
+            counters[k], carry = word ^ carry, word & carry
+        dead |= carry
         if p % 8 == 7:
+            dead |= _above(counters, radius)
             keep = np.flatnonzero(dead != full)
             if len(keep) < len(live):
-                live, group, query, ones, twos, dead = live[keep], group[keep], query[keep], ones[keep], twos[keep], dead[keep]
+                live, group, query, dead = live[keep], group[keep], query[keep], dead[keep]
+                counters = [word[keep] for word in counters]
     out[live] = ~dead
     return out
 
 
+def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count is above the radius, highest counter bit first."""
+    above, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for k in range(len(counters) - 1, -1, -1):
+        if radius >> k & 1:
+            equal = equal & counters[k]
+        else:
+            above, equal = above | equal & counters[k], equal & ~counters[k]
+    return above
+
+
 def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """label after the links a-b: equal where linked, by hooking on the smaller label and pointer jumping."""
     while True:
@@ -101,14 +112,11 @@ def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def block_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each block: two arrays of positions. key is sorted; equal keys are one block."""
-    if not 0 <= radius <= 3:
-        raise ValueError("two counter bits hold a radius of 0 to 3")
+def block_pairs(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions within radius inside each block, some at a time, the greater position first. key is sorted; equal keys are one block."""
     n = len(key)
-    label = np.arange(n)
     if n < 2:
-        return label[:0], label[:0]
+        return
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, n))
     # lane groups: 64 rows of one block each
@@ -136,26 +144,38 @@ def block_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple
             q = query[part[i]]
             other = first[block[q]] + (group[part[i]] - base[block[q]]) * 64 + l
             ok = other < q
-            label = forest(label, q[ok], other[ok])
+            yield q[ok], other[ok]
         row0 = row1
-    at = np.flatnonzero(label != np.arange(n))
+
+
+def block_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each block: two arrays of positions."""
+    label = np.arange(len(key))
+    for a, b in block_pairs(key, fps, radius):
+        label = forest(label, a, b)
+    at = np.flatnonzero(label != np.arange(len(key)))
     return at, label[at]
 
 
+def whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by block, in frames that hold whole blocks."""
+    rest = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        last = pdf["block"].iloc[-1] if len(pdf) else None
+        start = int(np.searchsorted(pdf["block"].to_numpy(), last)) if len(pdf) else 0
+        rest = pdf.iloc[start:]
+        if start:
+            yield pdf.iloc[:start]
+    if rest is not None and len(rest) > 1:
+        yield rest
+
+
 def _compare(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by block, so a block is whole once the next begins."""
-        rest = None
-        for pdf in batches:
-            if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            last = pdf["block"].iloc[-1] if len(pdf) else None
-            start = int(np.searchsorted(pdf["block"].to_numpy(), last)) if len(pdf) else 0
-            rest = pdf.iloc[start:]
-            if start:
-                yield _linked(pdf.iloc[:start], radius)
-        if rest is not None and len(rest) > 1:
-            yield _linked(rest, radius)
+        for pdf in whole_blocks(batches):
+            yield _linked(pdf, radius)
 
     return run
 
@@ -255,8 +275,17 @@ def keep_one(docs: DataFrame, similarity: float = near_copies.SIMILARITY, shingl
     """docs with one document of each group of near copies: the one with the smallest doc_id, once.
 
     Near copies are texts of Jaccard similarity 0.8 or more over shingles of five
-    words, linked over each other. Their fingerprints lie about 10 of 64 bits apart
-    and up to 20, where bands of bits deal to blocks no more, so pairs are nominated
-    by the shingles themselves. Rows without a doc_id stay, as nothing can name them."""
-    kept = near_copies.groups(docs, shingle, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    words, linked over each other. Their fingerprints lie about 10 of 64 bits apart,
+    where bands of bits deal to blocks no more, so blocks are dealt by the rarest
+    shingles; inside a block fingerprints are compared by bit planes with a wide
+    radius, and the pairs found are compared whole. Of rows that share a doc_id one
+    stays (the greatest text, then the others of its columns). Rows without a doc_id stay, as nothing can
+    name them. An empty table gives an empty one."""
+    found = cut(near_copies.groups(docs, shingle, similarity))
+    left = without(docs, found.where("doc_id <> component_id"))
+    twice = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    again = left.join(twice, "doc_id", "left_semi").select(F.struct("text", *[c for c in docs.columns if c != "text"]).alias("row"))
+    again = again.groupBy(F.col("row.doc_id").alias("key")).agg(F.max("row").alias("row")).select("row.*").select(*docs.columns)
+    return without(left, twice).unionByName(again)
