@@ -46,3 +46,24 @@ def test_chains_cliques_and_edges(spark, monkeypatch, easy):
     rows = simhash.keep_one(docs).collect()
     kept = [r["doc_id"] for r in rows if r["doc_id"] is not None]
     assert len(rows) == len(kept) + 1 and len(kept) == len(set(kept)) and set(kept) == slow_kept(texts)
+
+
+def test_shared_tokens_in_any_batches():
+    import collections
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    for _ in range(500):
+        rows = sorted((rng.randint(0, 5), rng.randint(0, 3)) for _ in range(rng.randint(0, 30)))
+        batches, at = [], 0
+        while at < len(rows):
+            some = rows[at : at + rng.randint(0, 6)]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], pa.int64()) for i in (0, 1)], ["token", "sig"]))
+            at += len(some)
+        got = [tuple(r.values()) for b in near_copies._shared(iter(batches)) for r in b.to_pylist()]
+        kinds = collections.defaultdict(set)
+        for t, s in rows:
+            kinds[t].add(s)
+        assert sorted(got) == sorted((t, s) for t, v in kinds.items() if len(v) > 1 for s in v)
