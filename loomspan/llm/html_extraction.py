@@ -392,7 +392,7 @@ def templates(rows: DataFrame, min_support: float = MIN_SUPPORT, min_pages: int
     found = cut(classes(signs, min_support, min_pages))
     lists = found.groupBy("host").agg(F.collect_list("code").alias("codes"), F.collect_list("class").alias("classes"), F.collect_list("support").alias("supports"))
     slots = _with_templates(named, cut(lists), most_broadcast).where("codes is not null").select("html", "host", "codes", "classes", "supports").mapInArrow(_slots, SLOTS)
-    slots = slots.groupBy("host", "code", "class", "parent", "path").agg(F.sum("mass").alias("mass"), F.sum("heads").alias("heads"))
+    slots = cut(slots.groupBy("host", "code", "class", "parent", "path").agg(F.sum("mass").alias("mass"), F.sum("heads").alias("heads")))
     filled = slots.where("path is not null")
     total = filled.groupBy("host").agg(F.sum("mass").alias("total"))
     filled = filled.join(total, "host").where(F.col("mass") >= MIN_PATH * F.col("total")).drop("total")
