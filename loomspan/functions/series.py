@@ -24,18 +24,25 @@ def _smooth(y: np.ndarray, alpha, beta, phi):
     return level, trend, sse
 
 
-def holt(y: np.ndarray, h: int = 1, phi: float = 1.0) -> np.ndarray:
-    """Holt's linear trend, damped by phi; smoothing weights from a grid, then a finer one around the best."""
+DAMPING = (1.0, 0.98, 0.95, 0.9, 0.85, 0.8)
+
+
+def holt(y: np.ndarray, h: int = 1, phi: float | None = None) -> np.ndarray:
+    """Holt's linear trend; smoothing weights from a grid, then a finer one around the best. Damped by phi, else by the one of DAMPING with the least error."""
     if len(y) < 3:
         return np.repeat(y[-1:], h)
-    a0, b0, width = 0.5, 0.5, 0.5
-    for _ in range(3):
-        a, b = np.meshgrid(np.clip(np.linspace(a0 - width, a0 + width, 11), 0.01, 0.99), np.clip(np.linspace(b0 - width, b0 + width, 11), 0.0, 0.99))
-        level, trend, sse = _smooth(y, a.ravel(), b.ravel(), phi)
-        k = int(sse.argmin())
-        a0, b0, width = a.ravel()[k], b.ravel()[k], width / 4
-    steps = np.cumsum(phi ** np.arange(1, h + 1))
-    return level[k] + steps * trend[k]
+    best = None
+    for f in DAMPING if phi is None else (phi,):
+        a0, b0, width = 0.5, 0.5, 0.5
+        for _ in range(3):
+            a, b = np.meshgrid(np.clip(np.linspace(a0 - width, a0 + width, 11), 0.01, 0.99), np.clip(np.linspace(b0 - width, b0 + width, 11), 0.0, 0.99))
+            level, trend, sse = _smooth(y, a.ravel(), b.ravel(), f)
+            k = int(sse.argmin())
+            a0, b0, width = a.ravel()[k], b.ravel()[k], width / 4
+        if best is None or sse[k] < best[0]:
+            best = sse[k], level[k], trend[k], f
+    _, level, trend, f = best
+    return level + np.cumsum(f ** np.arange(1, h + 1)) * trend
 
 
 def damped_holt(y: np.ndarray, h: int = 1) -> np.ndarray:

@@ -28,14 +28,14 @@ def persistence(df: DataFrame, target: str, horizon: int) -> DataFrame:
 
 
 def extrapolate(df: DataFrame, columns: list[str], horizon: int) -> DataFrame:
-    """(area, feature, step, value): each column's least-squares line, gaps as the series' median, held within last +- |last| (0.30 + 0.05 step); a last value of 0 doesn't bind."""
+    """(area, feature, step, value): each column's least-squares line, gaps as the series' median, held within last +- |last| (0.30 + 0.05 (step - 1)), steps from 1; a last value of 0 doesn't bind."""
     long = df.select("area", "year", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["area", "year"], columns, "feature", "value")
     w = Window.partitionBy("area", "feature")
     long = long.withColumn("i", (F.row_number().over(w.orderBy("year")) - 1).cast("double")).withColumn("value", F.coalesce("value", F.percentile("value", 0.5).over(w)))
     fit = long.groupBy("area", "feature").agg(F.regr_slope("value", "i").alias("slope"), F.regr_intercept("value", "i").alias("level"), F.count("*").alias("n"), F.max_by("value", "i").alias("last"))
     steps = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     line = F.col("level") + F.col("slope") * (F.col("n") + F.col("step") - 1)
-    room = F.abs("last") * (F.lit(0.30) + F.lit(0.05) * F.col("step"))
+    room = F.abs("last") * (F.lit(0.30) + F.lit(0.05) * (F.col("step") - 1))
     return steps.select("area", "feature", "step", F.when(F.col("last") == 0, line).otherwise(clip(line, F.col("last") - room, F.col("last") + room)).alias("value"))
 
 
@@ -68,36 +68,64 @@ def residual_bootstrap(forecast: DataFrame, residuals: DataFrame, draws: int = 2
     return out.select("area", "model", "year", "forecast", F.least(lo, F.col("forecast")).alias("lower_90"), F.greatest(hi, F.col("forecast")).alias("upper_90"))
 
 
-def future_row(history: list[float], target: str, features: list[str], extra: dict[str, float]) -> list[float]:
-    """Features of the next step from the target's history so far: lags, moving averages, growth by |previous|; others as given, else 0."""
-    lag = lambda k: history[-k] if len(history) >= k else history[0]
-    own = {f"{target}_lag{k}": lag(k) for k in (1, 2, 3)} | {f"{target}_ma{k}": float(np.mean(history[-k:])) for k in (3, 5)}
-    own[f"{target}_yoy"] = (lag(1) - lag(2)) / abs(lag(2)) * 100 if lag(2) else 0.0
-    return [own.get(f, extra.get(f, 0.0)) for f in features]
+def _derived(name: str, values: list[float]) -> dict[str, float]:
+    """Lags, moving averages and growth by |previous| behind the last of the values."""
+    n = len(values)
+    out = {f"{name}_lag{k}": values[n - k] if n >= k else np.nan for k in (1, 2, 3)}
+    out |= {f"{name}_ma{k}": float(np.mean(values[-k:])) for k in (3, 5)}
+    return out | {f"{name}_yoy": (values[-1] - values[-2]) / abs(values[-2]) * 100 if n >= 2 and values[-2] else 0.0}
+
+
+def outlook(values: np.ndarray, horizon: int) -> np.ndarray:
+    """One column drawn out as `extrapolate` does."""
+    y = np.where(np.isfinite(values), values, np.nanmedian(values) if np.isfinite(values).any() else 0.0)
+    line, last = one.linear(y, horizon), y[-1]
+    room = abs(last) * (0.30 + 0.05 * np.arange(horizon))
+    return line if last == 0 else np.clip(line, last - room, last + room)
+
+
+def known_ahead(years: list[int], columns: dict[str, np.ndarray], code: float, horizon: int) -> list[dict[str, float]]:
+    """What is known of each coming step beside the target: the trend goes on by year, columns by their outlook (the step's own value included), the code stays."""
+    ahead = {c: [*v.tolist(), *outlook(v, horizon).tolist()] for c, v in columns.items()}
+    out = []
+    for step in range(1, horizon + 1):
+        trend = float(years[-1] + step - years[0])
+        row = {"trend": trend, "trend_sq": trend**2, "area_code": code, "country_code": code}
+        for c, v in ahead.items():
+            row |= _derived(c, v[: len(years) + step])
+        out.append(row)
+    return out
+
+
+def future_row(history: list[float], target: str, features: list[str], known: dict[str, float]) -> list[float]:
+    """Features of the next step: the target's own from its history so far, others as known, else 0."""
+    own = _derived(target, history)
+    return [own.get(f, known.get(f, 0.0)) for f in features]
 
 
-def _recursive(x: np.ndarray, y: np.ndarray, features: list[str], target: str, horizon: int, fit) -> np.ndarray:
-    """Forecasts for each column of y (bootstrap targets share one design): shape (horizon, columns)."""
+def _recursive(x: np.ndarray, y: np.ndarray, features: list[str], target: str, known: list[dict[str, float]], fit) -> np.ndarray:
+    """Forecasts for each column of y (bootstrap targets share one design): shape (steps, columns)."""
     clean = one.median_filled(x, x)
     w, b = fit(one.scaled(clean, clean), y)
-    out = np.zeros((horizon, y.shape[1]))
-    last = dict(zip(features, clean[-1]))
-    for j in range(y.shape[1]):
-        history = y[:, j].tolist()
-        for h in range(horizon):
-            row = np.array([future_row(history, target, features, last)])
-            guess = float((one.scaled(row, clean) @ w[:, j] + b[j])[0])
-            out[h, j] = guess
-            history.append(guess)
+    out = np.zeros((len(known), y.shape[1]))
+    histories = [y[:, j].tolist() for j in range(y.shape[1])]
+    for h, ahead in enumerate(known):
+        rows = one.median_filled(np.array([future_row(past, target, features, ahead) for past in histories]), x)
+        out[h] = (one.scaled(rows, clean) * w.T).sum(axis=1) + b
+        for past, guess in zip(histories, out[h].tolist()):
+            past.append(guess)
     return out
 
 
-def recursive_forecast(df: DataFrame, features: list[str], target: str, horizon: int, alpha: float = 1.0, draws: int = 200, held: int = 8) -> DataFrame:
+def recursive_forecast(df: DataFrame, features: list[str], target: str, horizon: int, alpha: float = 1.0, draws: int = 200, held: int = 8, columns: list[str] | None = None) -> DataFrame:
     """(area, model, year, forecast, lower_90, upper_90) of ridge, fed with its own predictions.
 
+    Coming steps have the target's lags, averages and growth from what is forecast
+    so far, trend and its square by year, an area's code as it is, the same of
+    `columns` (of df) drawn out by their line, and 0 for any other feature.
     Intervals refit on targets with half of resampled one-step residuals added (all
     draws of a series are one solve with many right sides), held within point +-
-    max(|point|, 1) (0.35 + 0.05 step). Under 3 residuals: +- 1.645 tenths of the
+    max(|point|, 1) (0.35 + 0.05 step), steps from 0. Under 3 residuals: +- 1.645 tenths of the
     deviation. If the first step strays over 25 % from the last value, the linear
     trend takes over, with a tenth of the deviation of the last 8. Seeds come from the area's name."""
 
@@ -108,8 +136,11 @@ def recursive_forecast(df: DataFrame, features: list[str], target: str, horizon:
         area, y, x = pdf["area"].iloc[0], pdf["y"].to_numpy(float), pdf[features].to_numpy(float)
         rng = np.random.default_rng(zlib.crc32(area.encode()))
         fit = lambda z, t: one.ridge(z, t, alpha)
+        codes = [f for f in features if f in ("area_code", "country_code")]
+        code = float(pdf[codes[0]].iloc[0]) if codes else 0.0
+        known = known_ahead(pdf["year"].tolist(), {c: pdf[f"_{c}"].to_numpy(float) for c in columns or []}, code, horizon)
         name, spread = "Ridge", None
-        point = _recursive(x, y[:, None], features, target, horizon, fit)[:, 0] if len(y) >= 3 else np.repeat(y[-1:], horizon)
+        point = _recursive(x, y[:, None], features, target, known, fit)[:, 0] if len(y) >= 3 else np.repeat(y[-1:], horizon)
         if not np.isfinite(point).all() or abs(point[0] - y[-1]) > 0.25 * max(abs(y[-1]), 1e-9):
             name, point, spread = "LinearTrend", one.linear(y, horizon), y[-8:].std() * 0.10
         errors = []
@@ -124,13 +155,13 @@ def recursive_forecast(df: DataFrame, features: list[str], target: str, horizon:
             lo, hi = point - 1.645 * spread, point + 1.645 * spread
         else:
             noisy = np.maximum(y[:, None] + 0.5 * rng.choice(errors, (len(y), draws)), 0.3 * y.min())
-            paths = _recursive(x, noisy, features, target, horizon, fit)
-            room = np.maximum(np.abs(point), 1) * (0.35 + 0.05 * np.arange(1, horizon + 1))
+            paths = _recursive(x, noisy, features, target, known, fit)
+            room = np.maximum(np.abs(point), 1) * (0.35 + 0.05 * np.arange(horizon))
             lo, hi = np.percentile(np.clip(paths, (point - room)[:, None], (point + room)[:, None]), [5, 95], axis=1)
         years = int(pdf["year"].iloc[-1]) + np.arange(1, horizon + 1)
         return pd.DataFrame({"area": area, "model": name, "year": years, "forecast": point, "lower_90": np.minimum(lo, point), "upper_90": np.maximum(hi, point)})
 
-    rows = df.where(F.col(target).isNotNull()).select("area", F.col("year").cast("int").alias("year"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features])
+    rows = df.where(F.col(target).isNotNull()).select("area", F.col("year").cast("int").alias("year"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features], *[F.col(c).cast("double").alias(f"_{c}") for c in columns or []])
     return rows.groupBy("area").applyInPandas(run, FORECAST)
 
 

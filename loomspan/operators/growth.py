@@ -35,20 +35,24 @@ def last_known(history: DataFrame, value: str) -> DataFrame:
 
 
 def growth_summary(history: DataFrame, forecast: DataFrame, best: DataFrame, value: str, near: int = 2025, far: int = 2030) -> DataFrame:
-    """Per area with a best model: last value, the near and far forecast with the far one's bounds, total and yearly growth (over six years, as published), quality by MAPE.
+    """Per area with both forecasts: last value, the near and far forecast with the far one's bounds and model, total and yearly growth (over six years, as published; null unless the last value is above 0), quality by the best model's MAPE (Poor without one); greatest yearly growth first.
 
     Raises if no forecast of the near or the far year exists (one small aggregate looks)."""
     there = forecast.agg(F.count_if(F.col("year") == near), F.count_if(F.col("year") == far)).first()
     if not all(there):
         raise ValueError(f"forecasts of {near} and {far} are needed")
     at = lambda y, c: F.max(F.when(F.col("year") == y, F.col(c)))
-    ends = forecast.groupBy("area").agg(at(near, "forecast").alias("near"), at(far, "forecast").alias("far"), at(far, "lower_90").alias("far_lower"), at(far, "upper_90").alias("far_upper"))
-    rows = best.select("area", "model", "mape").join(last_known(history, value), "area").join(ends, "area")
-    return rows.select(
+    ends = forecast.groupBy("area").agg(
+        at(near, "forecast").alias("near"), at(far, "forecast").alias("far"), at(far, "lower_90").alias("far_lower"), at(far, "upper_90").alias("far_upper"),
+        at(far, "model").alias("model"),
+    ).where("near is not null and far is not null")
+    rows = last_known(history, value).join(ends, "area").join(best.select("area", "mape"), "area", "left")
+    rows = rows.select(
         "area", "model", F.col("anchor").alias("last"), "near", "far", "far_lower", "far_upper",
-        (F.try_divide(F.col("far") - F.col("anchor"), F.col("anchor")) * 100).alias("total_growth_pct"),
+        F.when(F.col("anchor") > 0, (F.col("far") - F.col("anchor")) / F.col("anchor") * 100).alias("total_growth_pct"),
         (growth_rate(F.col("anchor"), F.col("far"), 6) * 100).alias("cagr_pct"), F.coalesce(accuracy_label(F.col("mape")), F.lit("Poor")).alias("quality"),
     )
+    return rows.orderBy(F.col("cagr_pct").desc_nulls_last(), "area")
 
 
 def growth_between(history: DataFrame, forecast: DataFrame, value: str, base: int, target: int) -> DataFrame:

@@ -29,10 +29,10 @@ def feature_matrix(long: DataFrame, values: list[str], target: str, train_until:
 
 
 def metadata(df: DataFrame, target: str, columns: list[str], train_end: int, val_end: int, test_end: int, top: int = 20) -> dict:
-    """The document that goes with a feature matrix: target, columns, features, the most correlated ones, split bounds."""
+    """The document that goes with a feature matrix: target, columns, features, the most correlated ones, split bounds. It lists every area, as a document must."""
     usable = features.feature_columns(df, target)
     best = [r["feature"] for r in features.top_correlated(df, usable, target, top, train_end).select("feature").collect()]
-    areas = [r[0] for r in df.select("area").distinct().orderBy("area").limit(1000).collect()]
+    areas = [r[0] for r in df.select("area").distinct().orderBy("area").toLocalIterator()]
     return {"target": target, "all_subs": columns, "all_features": usable, f"top_corr_{top}": best, "countries": areas, "train_end": train_end, "val_end": val_end, "test_end": test_end}
 
 

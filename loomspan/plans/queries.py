@@ -561,7 +561,7 @@ _EXTRA = """lw AS (UNPIVOT (SELECT * FROM wide2 WHERE area IN (SELECT area FROM
 le AS (SELECT w.area, w.year, f.feature, CASE f.feature WHEN 'URGENT' THEN w."URGENT" ELSE w."LOW" END AS value FROM wide2 w, (VALUES ('URGENT'), ('LOW')) f(feature)),
 lm AS (SELECT area, feature, row_number() OVER (PARTITION BY area, feature ORDER BY year) - 1 AS i, coalesce(value, quantile_cont(value, 0.5) OVER (PARTITION BY area, feature)) AS value FROM le),
 lf AS (SELECT area, feature, regr_slope(value, i) AS slope, regr_intercept(value, i) AS level, count(*) AS n, max_by(value, i) AS last FROM lm GROUP BY ALL),
-lx AS (SELECT *, level + slope * (n + step - 1) AS line, abs(last) * (0.30 + 0.05 * step) AS room FROM lf, range(1,4) s(step))"""
+lx AS (SELECT *, level + slope * (n + step - 1) AS line, abs(last) * (0.30 + 0.05 * (step - 1)) AS room FROM lf, range(1,4) s(step))"""
 
 
 @query("j9_extrapolate", [P2, _WIDE2, _EXTRA], "SELECT area, feature, CAST(step AS INT) AS step, round(CASE WHEN last = 0 THEN line ELSE least(greatest(line, last - room), last + room) END, 4) AS value FROM lx")
@@ -627,9 +627,9 @@ def _(spark, d):
     return robustness.interval_widths(banded(spark, d), list(range(2025, 2031)))
 
 
-@query("d19_growth_summary", [*_BASE, METRICS, FORECAST, _BANDED], """SELECT area, model, round(h, 4) AS last, round(near, 4) AS near, round(far, 4) AS far, round(fl, 4) AS far_lower, round(fu, 4) AS far_upper, round((far - h) / nullif(h, 0) * 100, 4) AS total_growth_pct,
+@query("d19_growth_summary", [*_BASE, METRICS, FORECAST, _BANDED], """SELECT area, model, round(h, 4) AS last, round(near, 4) AS near, round(far, 4) AS far, round(fl, 4) AS far_lower, round(fu, 4) AS far_upper, round(CASE WHEN h > 0 THEN (far - h) / h * 100 END, 4) AS total_growth_pct,
 round(CASE WHEN h > 0 AND far >= 0 THEN (far / h) ** (1.0 / 6) - 1 END * 100, 4) AS cagr_pct, CASE WHEN mape < 3 THEN 'Excellent' WHEN mape < 7 THEN 'Good' WHEN mape < 15 THEN 'Moderate' ELSE 'Poor' END AS quality
-FROM best JOIN (SELECT area, max_by(demand, year) AS h FROM demand WHERE year <= 2024 GROUP BY area) USING (area) JOIN (SELECT area, max(CASE WHEN year = 2025 THEN forecast END) AS near, max(CASE WHEN year = 2030 THEN forecast END) AS far, max(CASE WHEN year = 2030 THEN lower_90 END) AS fl, max(CASE WHEN year = 2030 THEN upper_90 END) AS fu FROM banded GROUP BY area) USING (area)""")
+FROM (SELECT area, max_by(demand, year) AS h FROM demand WHERE year <= 2024 GROUP BY area) LEFT JOIN (SELECT area, mape FROM best) USING (area) JOIN (SELECT area, max(CASE WHEN year = 2030 THEN model END) AS model, max(CASE WHEN year = 2025 THEN forecast END) AS near, max(CASE WHEN year = 2030 THEN forecast END) AS far, max(CASE WHEN year = 2030 THEN lower_90 END) AS fl, max(CASE WHEN year = 2030 THEN upper_90 END) AS fu FROM banded GROUP BY area) USING (area) WHERE near IS NOT NULL AND far IS NOT NULL""")
 def _(spark, d):
     return growth.growth_summary(demand(spark, d, TEST), banded(spark, d), metrics.best_models(test_metrics(spark, d)), "demand")
 
