@@ -131,14 +131,14 @@ def block_pairs(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> Itera
     ends = np.cumsum(many)
     row0 = 0
     while row0 < n:
-        row1 = max(row0 + 1, int(np.searchsorted(ends, (ends[row0 - 1] if row0 else 0) + 400_000, "right")))
+        row1 = max(row0 + 1, int(np.searchsorted(ends, (ends[row0 - 1] if row0 else 0) + 100_000, "right")))
         rows = np.arange(row0, row1)
         query = np.repeat(rows, many[row0:row1])
         group = base[block[query]] + np.arange(len(query)) - np.repeat(np.cumsum(many[row0:row1]) - many[row0:row1], many[row0:row1])
         hit = within(plane, group, fps[query], radius)
         some = np.flatnonzero(hit)
-        for k in range(0, len(some), 20_000):
-            part = some[k : k + 20_000]
+        for k in range(0, len(some), 2_000):
+            part = some[k : k + 2_000]
             bits = np.unpackbits(hit[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             i, l = np.nonzero(bits)
             q = query[part[i]]
