@@ -227,8 +227,8 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
                 dealt = dealt.withColumn("block", F.shiftleft(F.col("band").cast("long"), 58).bitwiseOR(F.col("value")))
             else:
                 dealt = rows.select("id", "fp", F.posexplode(F.array(*[F.xxhash64("up", F.lit(i), _take(b)) for i, b in enumerate(bands)])).alias("band", "block"))
-            sizes = dealt.groupBy("block").agg(F.count("*").alias("n"))
-            large = cut(sizes.where(F.col("n") > block))
+            sizes = dealt.groupBy("block").agg(F.count("*").alias("size"))
+            large = cut(sizes.where(F.col("size") > block))
             if not large.isEmpty():
                 over = dealt.join(large, "block")
                 dealt = dealt.join(large.select("block"), "block", "left_anti")
@@ -236,7 +236,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
                     for i, band in enumerate(bands):
                         wide.append((over.where(F.col("band") == i).select("id", "fp", F.col("block").alias("up")), [x for x in free if x not in band]))
                 else:
-                    parts.append(_chunks(over, block))
+                    parts.append(chunks(over, block).select("block", "id", "fp"))
             parts.append(dealt.select("block", "id", "fp"))
         todo = wide
         if not todo:
@@ -248,12 +248,11 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return rows.mapInPandas(_compare(radius), "a long, b long")
 
 
-def _chunks(over: DataFrame, block: int) -> DataFrame:
-    """Oversize blocks in chunks of about block/2 rows; every two chunks of one are a block of their own."""
-    k = F.ceil(F.col("n") / F.lit(block // 2)).cast("int")
-    chunk = over.select("id", "fp", "block", k.alias("k"), F.pmod(F.xxhash64("id"), k).cast("int").alias("c"))
-    meets = chunk.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).where("o <> c")
-    return meets.select(F.xxhash64("block", F.least("c", "o"), F.greatest("c", "o")).alias("block"), "id", "fp")
+def chunks(over: DataFrame, block: int, id_col: str = "id") -> DataFrame:
+    """Blocks of `size` rows, all oversize, in chunks of about block/2 rows; every two chunks of one are a block of their own."""
+    dealt = over.withColumn("k", F.ceil(F.col("size") / F.lit(block // 2)).cast("int")).withColumn("c", F.pmod(F.xxhash64(id_col), F.col("k")).cast("int"))
+    meets = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("o <> c")
+    return meets.withColumn("block", F.xxhash64("block", F.least("c", "o"), F.greatest("c", "o"))).drop("size", "k", "c", "o")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:

@@ -37,6 +37,8 @@ def test_stage_is_brute_force(spark, sf):
 @pytest.mark.parametrize("easy", [near_copies.EASY, -1])
 def test_chains_cliques_and_edges(spark, monkeypatch, easy):
     monkeypatch.setattr(near_copies, "EASY", easy)
+    if easy < 0:
+        monkeypatch.setattr(near_copies, "BLOCK", 6)  # blocks in chunks
     base = [f"w{k}" for k in range(100)]
     texts = {k: " ".join(base[:-1] + [f"end{k}"]) for k in range(20)}  # a clique
     texts |= {100 + k: " ".join(f"c{j}" for j in range(8 * k, 8 * k + 100)) for k in range(12)}  # a chain: only neighbours are near
