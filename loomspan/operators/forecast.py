@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import series as one
 from ..functions.columns import clip, series
 
+DRAWS = 200  # resampled paths behind an interval
 FORECAST = "area string, model string, year int, forecast double, lower_90 double, upper_90 double"
 
 
@@ -47,7 +48,7 @@ def clamp(forecast: DataFrame, anchors: DataFrame, base: float = 0.40, per_step:
     return rows.withColumn("forecast", held if digits is None else F.round(held, digits)).drop("anchor", "i")
 
 
-def residual_bootstrap(forecast: DataFrame, residuals: DataFrame, draws: int = 200, coverage: float = 0.9, seed: int = 42) -> DataFrame:
+def residual_bootstrap(forecast: DataFrame, residuals: DataFrame, draws: int = DRAWS, coverage: float = 0.9, seed: int = 42) -> DataFrame:
     """forecast with lower_90 and upper_90: the point plus the running mean of resampled residuals (area, year, error), percentiles over the draws.
 
     Draws are picked by md5 of (area, draw, step, seed), so a rerun gives the same
@@ -117,7 +118,7 @@ def _recursive(x: np.ndarray, y: np.ndarray, features: list[str], target: str, k
     return out
 
 
-def recursive_forecast(df: DataFrame, features: list[str], target: str, horizon: int, alpha: float = 1.0, draws: int = 200, held: int = 8, columns: list[str] | None = None) -> DataFrame:
+def recursive_forecast(df: DataFrame, features: list[str], target: str, horizon: int, alpha: float = 1.0, draws: int = DRAWS, held: int = 8, columns: list[str] | None = None) -> DataFrame:
     """(area, model, year, forecast, lower_90, upper_90) of ridge, fed with its own predictions.
 
     Coming steps have the target's lags, averages and growth from what is forecast

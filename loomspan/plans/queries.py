@@ -574,9 +574,9 @@ def _(spark, d):
     return forecast.clamp(as_forecast(spark, d), anchors(spark, d), digits=None)
 
 
-_BOOT = """res AS (SELECT area, y_actual - y_pred AS error, row_number() OVER (PARTITION BY area ORDER BY year) - 1 AS k, count(*) OVER (PARTITION BY area) AS n FROM test WHERE model = 'MA3'),
+_BOOT = f"""res AS (SELECT area, y_actual - y_pred AS error, row_number() OVER (PARTITION BY area ORDER BY year) - 1 AS k, count(*) OVER (PARTITION BY area) AS n FROM test WHERE model = 'MA3'),
 st AS (SELECT area, model, year, forecast, row_number() OVER (PARTITION BY area, model ORDER BY year) AS step FROM trend),
-dr AS (SELECT st.*, draw, CAST('0x' || substr(md5(st.area || '~' || draw || '~' || step || '~42'), 1, 8) AS BIGINT) % (SELECT max(n) FROM res r WHERE r.area = st.area) AS k FROM st, range(1, 101) b(draw)),
+dr AS (SELECT st.*, draw, CAST('0x' || substr(md5(st.area || '~' || draw || '~' || step || '~42'), 1, 8) AS BIGINT) % (SELECT max(n) FROM res r WHERE r.area = st.area) AS k FROM st, range(1, {forecast.DRAWS + 1}) b(draw)),
 bv AS (SELECT dr.area, dr.model, dr.year, dr.forecast, dr.forecast + avg(error) OVER (PARTITION BY dr.area, dr.model, draw ORDER BY step) AS v FROM dr JOIN res ON dr.area = res.area AND dr.k = res.k)"""
 
 
