@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fixity, html_extraction, licenses, packing, quality_classifier, quality_rules, sharding, simhash, token_store
+from . import decontamination, fixity, html_extraction, licenses, packing, quality_classifier, quality_rules, runs, sharding, simhash, token_store
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.documents(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
