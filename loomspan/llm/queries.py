@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fixity, html_extraction, licenses, packing, quality_classifier, quality_rules, runs, sharding, simhash, token_store
+from . import decontamination, fixity, html_extraction, licenses, packing, quality_classifier, quality_rules, runs, sharding, simhash, token_store, topk
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.documents(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents"))))
 
@@ -77,5 +82,17 @@ FROM placed WHERE tag IN ('00', '01', '02')
 """
 
 
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_fixity_audit": _OP4}
+    return {"op4_fixity_audit": _OP4, "op11_threshold_topk": _OP11}
