@@ -50,7 +50,7 @@ def numbered(conversations: DataFrame, heavy: int = HEAVY) -> DataFrame:
     sizes = rows.groupBy(*key).agg(F.count("*").alias("m"))
     base = sizes.select(*key, (F.sum("m").over(Window.partitionBy("conv_id").orderBy("b1", "b2", "b3")) - F.col("m")).alias("before"))
     within = F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("turn"), "c0", "c1"))
-    return rows.join(base, key).select("conv_id", (F.col("before") + within).alias("position"), "c0", "c1", "words")
+    return rows.join(base.hint("merge"), key).select("conv_id", (F.col("before") + within).alias("position"), "c0", "c1", "words")
 
 
 def planted(turns: DataFrame, every: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -58,12 +58,13 @@ def planted(turns: DataFrame, every: int = 20) -> tuple[DataFrame, DataFrame]:
 
     The first h turns of conversation c - c % 20 stand before c's own after its first
     h; h is crc32 of the id, modulo 4."""
+    turns = cut(turns)
     counts = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
     convs = counts.withColumns({"h": F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4, "base": F.col("conv_id") - F.col("conv_id") % every})
     bases = counts.where(F.col("conv_id") % every == 0).select(F.col("conv_id").alias("base"), F.col("n").alias("there"))
-    convs = cut(convs.join(bases, "base", "left").withColumn("got", F.least("h", F.coalesce("there", F.lit(0)))).select("conv_id", "base", "n", "h", "got"))
-    opening = turns.where("position <= 3").withColumnRenamed("conv_id", "base").join(convs.select("conv_id", "base", "h"), "base").where("position <= h")
-    own = turns.join(convs.select("conv_id", "h", "got"), "conv_id").where("position > h").withColumn("position", F.col("position") - F.col("h") + F.col("got"))
+    convs = cut(convs.join(bases.hint("merge"), "base", "left").withColumn("got", F.least("h", F.coalesce("there", F.lit(0)))).select("conv_id", "base", "n", "h", "got"))
+    opening = turns.where("position <= 3").withColumnRenamed("conv_id", "base").join(convs.select("conv_id", "base", "h").hint("merge"), "base").where("position <= h")
+    own = turns.join(convs.select("conv_id", "h", "got").hint("merge"), "conv_id").where("position > h").withColumn("position", F.col("position") - F.col("h") + F.col("got"))
     keep = ["conv_id", "position", "c0", "c1", "words"]
     return opening.select(*keep).union(own.select(*keep)), convs.select("conv_id", (F.col("got") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length"))
 
@@ -81,7 +82,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
         before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         chunks = rows.groupBy("conv_id", "chunk").agg(*[F.bit_xor(f"x{i}").alias(f"x{i}") for i in (0, 1)])
         carry = chunks.select("conv_id", "chunk", *[F.coalesce(F.bit_xor(f"x{i}").over(before), F.lit(0)).alias(f"y{i}") for i in (0, 1)])
-        rows = rows.join(carry, ["conv_id", "chunk"]).withColumns({f"k{i}": F.col(f"k{i}").bitwiseXOR(F.col(f"y{i}")) for i in (0, 1)})
+        rows = rows.join(carry.hint("merge"), ["conv_id", "chunk"]).withColumns({f"k{i}": F.col(f"k{i}").bitwiseXOR(F.col(f"y{i}")) for i in (0, 1)})
     return rows.select("conv_id", "position", "words", "k0", "k1", *[F.col(f"k{i}").bitwiseXOR(F.col(f"x{i}")).alias(f"p{i}") for i in (0, 1)])
 
 
@@ -154,15 +155,33 @@ def _tops(edges: DataFrame) -> DataFrame:
     state = cut(edges.select("id", F.coalesce("parent", "id").alias("label"), F.col("parent").isNull().alias("settled")))
     while not state.where("not settled").isEmpty():
         up = state.select(F.col("id").alias("label"), F.col("label").alias("to"), F.col("settled").alias("there"))
-        moved = state.where("not settled").join(up, "label").select("id", F.col("to").alias("label"), F.col("there").alias("settled"))
+        moved = state.where("not settled").join(up.hint("merge"), "label").select("id", F.col("to").alias("label"), F.col("there").alias("settled"))
         state = cut(state.where("settled").union(moved))
     return state.select("id", "label")
 
 
-def _split(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+def _split(rows: DataFrame, names: list[str]) -> tuple[DataFrame, list[DataFrame]]:
     """Every component of rows (id, parent, label, values) split at its centroid: the rows left under their new labels, and what paths gain.
 
-    label is the component's top, whose parent is null."""
+    label is the component's top, whose parent is null. Where no part below the top
+    has over half of the nodes, the top is the centroid and its path is itself; only
+    for other components are sizes and paths worked out."""
+    total = [F.sum(c).alias(c) for c in names]
+    below = rows.where("id <> label").select("id", F.when(F.col("parent") != F.col("label"), F.col("parent")).alias("parent"), F.col("label").alias("top"), *names)
+    below = cut(below.join(_tops(below).hint("merge"), "id"))
+    parts = below.groupBy("top", "label").agg(F.count("*").alias("n")).groupBy("top").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    tall = cut(parts.where("2 * most > n + 1").select(F.col("top").alias("label")))  # one row a component of over MOST nodes, at most
+    bushes = below.join(tall.select(F.col("label").alias("top")), "top", "left_anti")
+    whole = bushes.select(F.col("top").alias("id"), *names).union(rows.where("id = label").join(tall, "label", "left_anti").select("id", *names))
+    left, gains = bushes.select("id", "parent", "label", *names), [whole.groupBy("id").agg(*total)]
+    if not tall.isEmpty():
+        more, gain = _split_tall(cut(rows.join(tall, "label", "left_semi").select("id", "parent", "label", *names)), names)
+        left, gains = left.union(more), [*gains, gain]
+    return left, gains
+
+
+def _split_tall(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """_split where the centroid lies below the top: sizes and paths by doubling."""
     sizes = cut(rows.select("id", "label", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")))
     steps = []
     while True:  # after k rounds: nodes within 2**k steps below, and the node 2**k steps above
@@ -170,21 +189,20 @@ def _split(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
         if steps[-1].isEmpty():
             break
         more = sizes.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
-        far = sizes.where("up <> label").join(sizes.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", "far")
-        sizes = cut(sizes.join(more, "id", "left").join(far, "id", "left").select("id", "label", F.col("far").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        far = sizes.where("up <> label").join(sizes.select(F.col("id").alias("up"), F.col("up").alias("far")).hint("merge"), "up").select("id", "far")
+        sizes = cut(sizes.join(more.hint("merge"), "id", "left").join(far.hint("merge"), "id", "left").select("id", "label", F.col("far").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
     tops = sizes.where("id = label").select("label", F.col("size").alias("n"))
-    centre = sizes.join(tops, "label").where("2 * size >= n").groupBy("label").agg(F.min(F.struct("size", "id"))["id"].alias("centre"))
+    centre = cut(sizes.join(tops, "label").where("2 * size >= n").groupBy("label").agg(F.min(F.struct("size", "id"))["id"].alias("centre")))
     rows = cut(rows.join(centre, "label").withColumn("below", F.coalesce(F.col("parent") == F.col("centre"), F.lit(False))))
     left = rows.where("id <> centre").select("id", F.when(~F.col("below"), F.col("parent")).alias("parent"), "centre", "below", *names)
-    labels = _tops(left)
-    left = cut(left.join(labels, "id"))
+    left = cut(left.join(_tops(left).hint("merge"), "id"))
     # totals of the parts that hang on a centroid, each combined before it moves
     hung = left.where("below").select(F.col("id").alias("label"), "centre")
-    totals = left.groupBy("label").agg(*[F.sum(c).alias(c) for c in names]).join(hung, "label").select("centre", *names)
+    totals = left.groupBy("label").agg(*[F.sum(c).alias(c) for c in names]).join(hung.hint("merge"), "label").select("centre", *names)
     totals = totals.union(rows.where("id = centre").select("centre", *names)).groupBy("centre").agg(*[F.sum(c).alias(c) for c in names])
     path = cut(centre.select("centre", F.col("centre").alias("id")))
     for step in steps[:-1]:
-        path = cut(path.union(path.join(step, "id").select("centre", F.col("up").alias("id"))))
+        path = cut(path.union(path.join(step.hint("merge"), "id").select("centre", F.col("up").alias("id"))))
     return left.select("id", "parent", "label", *names), cut(path.join(totals, "centre").select("id", *names))
 
 
@@ -193,21 +211,18 @@ def subtree_sums(nodes: DataFrame, names: list[str], most: int = MOST) -> DataFr
 
     Ids are unique longs; a null parent makes a top, any other must be an id of the
     table. Values that are null count as 0. An empty table gives an empty one."""
-    rows = cut(nodes.select("id", "parent", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in names]))
+    rows = nodes.select("id", "parent", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in names])
     tops = rows.where("parent is null").select("id").limit(2).collect()
-    if len(tops) == 1:
-        rows = rows.withColumn("label", F.lit(tops[0][0]))
-    else:
-        rows = rows.join(_tops(rows), "id")
-    rows, parts, gains = rows.select("id", "parent", "label", *names), [], []
+    rows = rows.withColumn("label", F.lit(tops[0][0])) if len(tops) == 1 else rows.join(_tops(cut(rows)).hint("merge"), "id")
+    rows, parts, gains = cut(rows.select("id", "parent", "label", *names)), [], []
     while True:
         large = cut(rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > most).select("label"))
         if large.isEmpty():
             parts.append(rows)
             break
         parts.append(rows.join(large, "label", "left_anti").select(rows.columns))
-        rows, gain = _split(rows.join(large, "label", "left_semi").select(rows.columns), names)
-        gains.append(gain)
+        rows, more = _split(cut(rows.join(large, "label", "left_semi").select(rows.columns)), names)
+        rows, gains = cut(rows), gains + more
     small = reduce(DataFrame.union, parts).select(F.col("label").alias("block"), "id", F.coalesce("parent", "id").alias("parent"), *names)
     schema = ", ".join(f"{c} long" for c in ("id", *names))
     sums = small.repartition("block").sortWithinPartitions("block", "id").mapInPandas(_local(names), schema)
@@ -256,20 +271,19 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, most: int = MOST) -> DataFra
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
     root = root.select(*[zero.alias(c) for c in key], "conv_id", "n_convs", F.lit(None).cast("long").alias("p0"), F.lit(None).cast("long").alias("p1"), zero.alias("words"))
     nodes = cut(nodes.unionByName(root)).withColumn("id", F.monotonically_increasing_id())  # a checkpoint's partitions stay
-    first = nodes.where("position = 0").select(F.col("id").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     above = nodes.select((F.col("position") + 1).alias("position"), F.col("k0").alias("p0"), F.col("k1").alias("p1"), F.col("id").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    none = [F.lit(None).cast("long").alias(c) for c in ("parent", "parent_conv_id")]
     cols = ["id", *key, "conv_id", "n_convs", "words", "parent", "parent_conv_id"]
-    edges = nodes.where("position > 1").join(above.where("position > 1"), ["position", "p0", "p1"]).select(*cols)
-    edges = edges.union(nodes.where("position = 1").crossJoin(F.broadcast(first)).select(*cols))  # one row: the root
-    edges = cut(edges.union(nodes.where("position = 0").select(*cols[:-2], *none)))
+    edges = nodes.where("position > 1").join(above.where("position > 1").hint("merge"), ["position", "p0", "p1"]).select(*cols)
+    first = nodes.where("position = 0").select("id", "conv_id").first() or (None, None)  # the root, above all that start
+    top = nodes.where("position <= 1").withColumns({c: F.when(F.col("position") == 1, F.lit(v).cast("long")) for c, v in zip(cols[-2:], first)})
+    edges = cut(edges.union(top.select(*cols)))
     children = edges.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n_children"))
-    full = cut(edges.join(children, "id", "left").withColumn("n_children", F.coalesce("n_children", zero)))
+    full = cut(edges.join(children.hint("merge"), "id", "left").withColumn("n_children", F.coalesce("n_children", zero)))
     sums = subtree_sums(full.select("id", "parent", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens")), ["n_leaves", "saved_tokens"], most)
 
     last = rows.groupBy("conv_id").agg(F.max(F.struct("position", "k0", "k1")).alias("e")).select("conv_id", "e.*")
     last = last.union(convs.where("length = 0").select("conv_id", *[zero.alias(c) for c in key]))
     parts = last.groupBy(*key, F.shiftright("conv_id", ENDS_BITS).alias("stretch")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("conv_id")), lambda c: c.cast("string")), ",").alias("part"))
     ends = parts.repartition(*key).sortWithinPartitions(*key, "stretch").select(*key, "part").mapInArrow(_joined, "position long, k0 long, k1 long, ends_sha256 string")
-    found = full.join(sums, "id").join(ends, key, "left")
+    found = full.join(sums.hint("merge"), "id").join(ends.hint("merge"), key, "left")
     return found.select("conv_id", F.col("position").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))

@@ -82,7 +82,7 @@ def test_long_conversations_and_repeated_turns(spark):
 @pytest.mark.parametrize("kind", ["path", "star", "random", "broom"])
 def test_subtree_sums(spark, kind):
     rng = np.random.default_rng(1)
-    n = 120
+    n = 60
     up = {"path": lambda i: i - 1, "star": lambda i: 0, "random": lambda i: int(rng.integers(i)), "broom": lambda i: i - 1 if i < n // 2 else n // 2 - 1}[kind]
     ids = (rng.permutation(n) * 1_000_003 - 7).tolist()
     parents = [None, *[up(i) for i in range(1, n)]]
