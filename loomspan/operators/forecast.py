@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import zlib
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import moments
 from ..functions import series as one
 from ..functions.columns import clip, series
+from . import walkforward
+from .lineage import cut
 
 DRAWS = 200  # resampled paths behind an interval
+SERIES = one.MODELS | {"Naive": one.linear}  # over several steps Naive is the trend
 FORECAST = "area string, model string, year int, forecast double, lower_90 double, upper_90 double"
 
 
@@ -98,24 +106,105 @@ def known_ahead(years: list[int], columns: dict[str, np.ndarray], code: float, h
     return out
 
 
+def future_rows(past: np.ndarray, target: str, features: list[str], known: dict[str, float]) -> np.ndarray:
+    """Features of the next step for each column of past (steps, columns): the target's own from what is behind, others as known, else 0."""
+    n, rows = len(past), np.zeros((past.shape[1], len(features)))
+    own = {f"{target}_lag{k}": past[n - k] if n >= k else np.nan for k in (1, 2, 3)} | {f"{target}_ma{k}": past[-k:].mean(axis=0) for k in (3, 5)}
+    before = past[-2] if n >= 2 else np.zeros(past.shape[1])
+    own[f"{target}_yoy"] = np.where(before == 0, 0.0, (past[-1] - before) / np.where(before == 0, 1.0, np.abs(before)) * 100)
+    for j, f in enumerate(features):
+        rows[:, j] = own[f] if f in own else known.get(f, 0.0)
+    return rows
+
+
 def future_row(history: list[float], target: str, features: list[str], known: dict[str, float]) -> list[float]:
-    """Features of the next step: the target's own from its history so far, others as known, else 0."""
-    own = _derived(target, history)
-    return [own.get(f, known.get(f, 0.0)) for f in features]
-
-
-def _recursive(x: np.ndarray, y: np.ndarray, features: list[str], target: str, known: list[dict[str, float]], fit) -> np.ndarray:
-    """Forecasts for each column of y (bootstrap targets share one design): shape (steps, columns)."""
-    clean = one.median_filled(x, x)
-    w, b = fit(one.scaled(clean, clean), y)
-    out = np.zeros((len(known), y.shape[1]))
-    histories = [y[:, j].tolist() for j in range(y.shape[1])]
-    for h, ahead in enumerate(known):
-        rows = one.median_filled(np.array([future_row(past, target, features, ahead) for past in histories]), x)
-        out[h] = (one.scaled(rows, clean) * w.T).sum(axis=1) + b
-        for past, guess in zip(histories, out[h].tolist()):
-            past.append(guess)
-    return out
+    return future_rows(np.array(history)[:, None], target, features, known)[0].tolist()
+
+
+def _steps(y: np.ndarray, x: np.ndarray, features: list[str], target: str, known: list[dict[str, float]], predict) -> np.ndarray:
+    """(steps, columns) of predict(rows), each step's rows built from the columns of y and what was predicted before."""
+    past = y
+    for ahead in known:
+        past = np.vstack([past, predict(one.median_filled(future_rows(past, target, features, ahead), x))])
+    return past[len(y) :]
+
+
+@dataclass
+class History:
+    """One area's rows in order: years, target, features, and the columns that are drawn out ahead."""
+
+    years: list[int]
+    y: np.ndarray
+    x: np.ndarray
+    features: list[str]
+    target: str
+    columns: dict[str, np.ndarray]
+
+    @classmethod
+    def of(cls, pdf: pd.DataFrame, features: list[str], target: str, columns: list[str]) -> "History":
+        pdf = pdf.sort_values("year")
+        return cls(pdf["year"].tolist(), pdf["y"].to_numpy(float), pdf[features].to_numpy(float), features, target, {c: pdf[f"_{c}"].to_numpy(float) for c in columns})
+
+    def until(self, t: int) -> "History":
+        return History(self.years[:t], self.y[:t], self.x[:t], self.features, self.target, {c: v[:t] for c, v in self.columns.items()})
+
+    def paths(self, model: str, horizon: int, y: np.ndarray, parameters: dict) -> np.ndarray:
+        """Forecasts (horizon, columns) for each column of targets y over these rows. An unknown model gives the last value; a linear one needs 3 rows."""
+        if model not in moments.MODELS:
+            f = SERIES.get(model, lambda v, h: np.repeat(v[-1:], h))
+            return np.column_stack([f(y[:, j], horizon) for j in range(y.shape[1])])
+        if len(y) < 3:
+            raise ValueError("too few rows")
+        clean = one.median_filled(self.x, self.x)
+        fit = moments.Moments(clean.shape[1], y.shape[1]).add(clean, y).scaled()
+        w = moments.MODELS[model](fit, **parameters)
+        codes = [f for f in self.features if f in ("area_code", "country_code")]
+        known = known_ahead(self.years, self.columns, float(self.x[0, self.features.index(codes[0])]) if codes else 0.0, horizon)
+        return _steps(y, self.x, self.features, self.target, known, lambda rows: fit.predict(w, rows))
+
+    def residuals(self, model: str, parameters: dict, held: int) -> np.ndarray:
+        """One-step errors of the last `held` rows from the tenth on. Each row to predict is built from the rows before it, as a coming one is."""
+        found = []
+        for t in range(max(10, len(self.y) - held), len(self.y)):
+            try:
+                guess = self.until(t).paths(model, 1, self.y[:t, None], parameters)[0, 0]
+            except (np.linalg.LinAlgError, ValueError):
+                continue
+            found.append(self.y[t] - guess)
+        return np.array(found)
+
+    def interval(self, model: str, horizon: int, parameters: dict, draws: int, held: int, rng: np.random.Generator) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """(model, point, lower, upper) by refits on targets with half of resampled residuals added; raises where the model gives nothing."""
+        point, y = self.paths(model, horizon, self.y[:, None], parameters)[:, 0], self.y
+        if not np.isfinite(point).all():
+            raise ValueError("no finite forecast")
+        if y[-1] != 0 and abs(point[0] - y[-1]) > 0.25 * abs(y[-1]):
+            model, point, spread = "LinearTrend", one.linear(y, horizon), y[-8:].std() * 0.10
+            return model, point, point - 1.645 * spread, point + 1.645 * spread
+        errors = self.residuals(model, parameters, held)
+        errors = errors[np.isfinite(errors)]
+        if len(errors) < 3:
+            spread = y.std() * 0.10
+            return model, point, point - 1.645 * spread, point + 1.645 * spread
+        noisy = np.maximum(y[:, None] + 0.5 * rng.choice(errors, (len(y), draws)), 0.3 * y.min())
+        paths = self.paths(model, horizon, noisy, parameters)
+        paths = np.where(np.isfinite(paths), paths, point[:, None])
+        room = np.maximum(np.abs(point), 1) * (0.35 + 0.05 * np.arange(horizon))
+        lo, hi = np.percentile(np.clip(paths, (point - room)[:, None], (point + room)[:, None]), [5, 95], axis=1)
+        return model, point, np.minimum(lo, point), np.maximum(hi, point)
+
+
+def _table(area: str, model: str, last: int, point, lo, hi) -> pd.DataFrame:
+    return pd.DataFrame({"area": area, "model": model, "year": last + 1 + np.arange(len(point)), "forecast": point, "lower_90": lo, "upper_90": hi})
+
+
+def _rows(df: DataFrame, target: str, features: list[str], columns: list[str], *more: str) -> DataFrame:
+    double = lambda c, name: F.col(c).cast("double").alias(name)
+    return df.where(F.col(target).isNotNull()).select("area", F.col("year").cast("int").alias("year"), double(target, "y"), *more, *[double(c, c) for c in features], *[double(c, f"_{c}") for c in columns])
+
+
+def _random(area: str) -> np.random.Generator:
+    return np.random.default_rng(zlib.crc32(area.encode()))
 
 
 def recursive_forecast(df: DataFrame, features: list[str], target: str, horizon: int, alpha: float = 1.0, draws: int = DRAWS, held: int = 8, columns: list[str] | None = None) -> DataFrame:
@@ -123,75 +212,160 @@ def recursive_forecast(df: DataFrame, features: list[str], target: str, horizon:
 
     Coming steps have the target's lags, averages and growth from what is forecast
     so far, trend and its square by year, an area's code as it is, the same of
-    `columns` (of df) drawn out by their line, and 0 for any other feature.
-    Intervals refit on targets with half of resampled one-step residuals added (all
+    `columns` (of df) drawn out by their line, and 0 for any other feature. So do the
+    rows behind the one-step residuals, which know nothing of the year they predict.
+    Intervals refit on targets with half of resampled residuals added (all
     draws of a series are one solve with many right sides), held within point +-
     max(|point|, 1) (0.35 + 0.05 step), steps from 0. Under 3 residuals: +- 1.645 tenths of the
     deviation. If the first step strays over 25 % from the last value, the linear
-    trend takes over, with a tenth of the deviation of the last 8. Seeds come from the area's name."""
+    trend takes over, with a tenth of the deviation of the last 8; under 3 rows the
+    last value goes on. Seeds come from the area's name."""
+    columns = columns or []
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import zlib
+        h, area = History.of(pdf, features, target, columns), pdf["area"].iloc[0]
+        try:
+            found = h.interval("Ridge", horizon, {"alpha": alpha}, draws, held, _random(area))
+        except (np.linalg.LinAlgError, ValueError):
+            if len(h.y) < 3:
+                found = "Ridge", (point := np.repeat(h.y[-1:], horizon)), point - 1.645 * h.y.std() * 0.1, point + 1.645 * h.y.std() * 0.1
+            else:
+                found = h.interval("LinearTrend", horizon, {}, draws, held, _random(area))
+        return _table(area, found[0], h.years[-1], *found[1:])
 
-        pdf = pdf.sort_values("year")
-        area, y, x = pdf["area"].iloc[0], pdf["y"].to_numpy(float), pdf[features].to_numpy(float)
-        rng = np.random.default_rng(zlib.crc32(area.encode()))
-        fit = lambda z, t: one.ridge(z, t, alpha)
-        codes = [f for f in features if f in ("area_code", "country_code")]
-        code = float(pdf[codes[0]].iloc[0]) if codes else 0.0
-        known = known_ahead(pdf["year"].tolist(), {c: pdf[f"_{c}"].to_numpy(float) for c in columns or []}, code, horizon)
-        name, spread = "Ridge", None
-        point = _recursive(x, y[:, None], features, target, known, fit)[:, 0] if len(y) >= 3 else np.repeat(y[-1:], horizon)
-        if not np.isfinite(point).all() or abs(point[0] - y[-1]) > 0.25 * max(abs(y[-1]), 1e-9):
-            name, point, spread = "LinearTrend", one.linear(y, horizon), y[-8:].std() * 0.10
-        errors = []
-        if spread is None:
-            for t in range(max(10, len(y) - held), len(y)):
-                clean = one.median_filled(x[:t], x[:t])
-                w, b = fit(one.scaled(clean, clean), y[:t])
-                errors.append(y[t] - float((one.scaled(one.median_filled(x[t : t + 1], x[:t]), clean) @ w + b)[0]))
-            if len(errors) < 3:
-                spread = y.std() * 0.10
-        if spread is not None:
-            lo, hi = point - 1.645 * spread, point + 1.645 * spread
-        else:
-            noisy = np.maximum(y[:, None] + 0.5 * rng.choice(errors, (len(y), draws)), 0.3 * y.min())
-            paths = _recursive(x, noisy, features, target, known, fit)
-            room = np.maximum(np.abs(point), 1) * (0.35 + 0.05 * np.arange(horizon))
-            lo, hi = np.percentile(np.clip(paths, (point - room)[:, None], (point + room)[:, None]), [5, 95], axis=1)
-        years = int(pdf["year"].iloc[-1]) + np.arange(1, horizon + 1)
-        return pd.DataFrame({"area": area, "model": name, "year": years, "forecast": point, "lower_90": np.minimum(lo, point), "upper_90": np.maximum(hi, point)})
-
-    rows = df.where(F.col(target).isNotNull()).select("area", F.col("year").cast("int").alias("year"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features], *[F.col(c).cast("double").alias(f"_{c}") for c in columns or []])
-    return rows.groupBy("area").applyInPandas(run, FORECAST)
-
-
-def series_forecasts(df: DataFrame, target: str, horizon: int, models: tuple[str, ...] = tuple(one.MODELS)) -> DataFrame:
-    """(area, model, year, forecast) of every area and one-series model; a model that fails on a series is left out for it."""
+    return _rows(df, target, features, columns).groupBy("area").applyInPandas(run, FORECAST)
+
+
+def series_forecasts(df: DataFrame, target: str, horizon: int, models: tuple[str, ...] = tuple(one.MODELS), features: list[str] | None = None, columns: list[str] | None = None, parameters: dict[str, dict] | None = None) -> DataFrame:
+    """(area, model, year, forecast) of every area and model that one area's rows are enough for: those of one series and, on the features, the linear ones.
+
+    An unknown name gives the last value; a model that fails on a series is left out for it."""
+    features, columns, parameters = features or [], columns or [], parameters or {}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("year")
-        y, last, parts = pdf["y"].to_numpy(float), int(pdf["year"].iloc[-1]), []
+        h, parts = History.of(pdf, features, target, columns), []
         for name in models:
             try:
-                guess = np.asarray(one.MODELS[name](y, horizon), float)
+                guess = h.paths(name, horizon, h.y[:, None], parameters.get(name, {}))[:, 0]
             except (np.linalg.LinAlgError, ValueError):
                 continue
-            if len(guess) == horizon and np.isfinite(guess).all():
-                parts += [(pdf["area"].iloc[0], name, last + 1 + h, g) for h, g in enumerate(guess)]
+            if np.isfinite(guess).all():
+                parts += [(pdf["area"].iloc[0], name, h.years[-1] + 1 + k, g) for k, g in enumerate(guess)]
         return pd.DataFrame(parts, columns=["area", "model", "year", "forecast"])
 
-    rows = df.where(F.col(target).isNotNull()).select("area", F.col("year").cast("int").alias("year"), F.col(target).cast("double").alias("y"))
-    return rows.groupBy("area").applyInPandas(run, "area string, model string, year int, forecast double")
+    return _rows(df, target, features, columns).groupBy("area").applyInPandas(run, "area string, model string, year int, forecast double")
+
+
+def _ahead(df: DataFrame, target: str, horizon: int, columns: list[str], code: str | None) -> DataFrame:
+    """One row per area: `past`, its last five targets, first and last year, its code, and of each column the last five values with its outlook behind them (v_column)."""
+    last = lambda c: F.slice(F.transform(F.sort_array(F.collect_list(F.struct("year", c))), lambda p: p[c]), F.greatest(F.count("*") - 4, F.lit(1)).cast("int"), 5)
+    rows = df.where(F.col(target).isNotNull())
+    rows = rows.select("area", F.col("year").cast("int").alias("year"), F.col(target).cast("double").alias("past"), (F.col(code) if code else F.lit(0.0)).cast("double").alias("code"), *[F.col(c).cast("double").alias(f"v_{c}") for c in columns])
+    state = rows.groupBy("area").agg(last("past").alias("past"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.max_by("code", "year").alias("code"), *[last(f"v_{c}").alias(f"v_{c}") for c in columns])
+    if columns:
+        lines = extrapolate(df.where(F.col(target).isNotNull()), columns, horizon).groupBy("area").pivot("feature", columns).agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "value"))), lambda p: p["value"]))
+        state = state.join(lines.select("area", *[F.col(f"`{c}`").alias(f"l_{c}") for c in columns]), "area", "left")
+        state = state.withColumns({f"v_{c}": F.concat(f"v_{c}", f"l_{c}") for c in columns}).drop(*[f"l_{c}" for c in columns])
+    return state
+
+
+def _next_features(features: list[str], target: str, columns: list[str], step: int) -> dict[str, Column]:
+    """Expressions for the features of a step (from 1) on the rows of _ahead, `past` having what is forecast so far."""
+
+    def derived(name: str, v: Column) -> dict[str, Column]:
+        at = lambda k: F.get(v, F.size(v) - k)
+        mean = lambda k: F.aggregate(F.slice(v, F.greatest(F.size(v) - k + 1, F.lit(1)), k), F.lit(0.0), lambda s, x: s + x) / F.least(F.size(v), F.lit(k))
+        growth = F.coalesce(F.try_divide(at(1) - at(2), F.abs(at(2))) * 100, F.lit(0.0))
+        return {f"{name}_lag{k}": at(k) for k in (1, 2, 3)} | {f"{name}_ma{k}": mean(k) for k in (3, 5)} | {f"{name}_yoy": growth}
+
+    trend = (F.col("last_year") + step - F.col("first_year")).cast("double")
+    known = derived(target, F.col("past")) | {"trend": trend, "trend_sq": trend * trend, "area_code": F.col("code"), "country_code": F.col("code")}
+    for c in columns:
+        known |= derived(c, F.slice(f"v_{c}", F.lit(1), F.size(f"v_{c}") - F.col("horizon") + step))
+    return {f: known.get(f, F.lit(0.0)) for f in features}
+
+
+def tree_forecasts(df: DataFrame, features: list[str], target: str, horizon: int, columns: list[str] | None = None, models: tuple[str, ...] = walkforward.TREES, parameters: dict[str, dict] | None = None, seed: int = 42) -> DataFrame:
+    """(area, model, year, forecast) of panel trees, fed with their own predictions.
+
+    A model is fitted once, on the rows of all areas. Then every area takes a step at a
+    time: features from its last five values, prediction, append; a step is one
+    narrow pass over a row per area, checkpointed so that plans don't grow with the
+    horizon. Coming steps know what `recursive_forecast` says; a gap in a feature is
+    filled with the median of the fitted rows."""
+    from pyspark.ml.feature import VectorAssembler
+
+    columns = columns or []
+    rows, release = walkforward.assembled(df, features, target)
+    middle = df.where(F.col(target).isNotNull()).agg(*[F.median(F.col(f).cast("double")).alias(f) for f in features]).first()
+    codes = [f for f in features if f in ("area_code", "country_code")]
+    start = cut(_ahead(df, target, horizon, columns, codes[0] if codes else None).withColumn("horizon", F.lit(horizon)))
+    pack, parts = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features"), []
+    for name in models:
+        fitted, state = walkforward.tree(name, (parameters or {}).get(name, {}), seed).fit(rows), start
+        for step in range(1, horizon + 1):
+            made = _next_features(features, target, columns, step)
+            made = {f"_f{i}": F.coalesce(F.when(~F.isnan(made[f]), made[f]), F.lit(float(middle[f] or 0.0))) for i, f in enumerate(features)}
+            guess = fitted.transform(pack.transform(state.withColumns(made)))
+            state = cut(guess.withColumn("past", F.concat("past", F.array("prediction"))).select(start.columns))
+        # past holds five values of history at most, and the forecasts behind them
+        steps = state.select("area", "last_year", F.posexplode(F.slice("past", -horizon, horizon)).alias("i", "forecast"))
+        parts.append(steps.select("area", F.lit(name).alias("model"), (F.col("last_year") + F.col("i") + 1).cast("int").alias("year"), "forecast"))
+    release()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def all_forecasts(df: DataFrame, features: list[str], target: str, horizon: int, columns: list[str] | None = None, models: tuple[str, ...] = walkforward.ELEVEN, parameters: dict[str, dict] | None = None, digits: int | None = 2) -> DataFrame:
+    """(area, model, year, forecast) of all eleven models for every area, held near each area's last value by `clamp`.
+
+    Drawn out over several steps, Naive is the trend. A model that fails on an area has no rows there.
+    Trends are aggregates, the other models of one area a grouped map, trees panel models that step together."""
+    rows = df.where(F.col(target).isNotNull())
+    parts = [linear_forecast(rows, target, horizon, name) for name in models if name in ("Naive", "LinearTrend")]
+    if grouped := tuple(m for m in models if m not in ("Naive", "LinearTrend", *walkforward.TREES)):
+        parts.append(series_forecasts(rows, target, horizon, grouped, features, columns, parameters))
+    if trees := tuple(m for m in models if m in walkforward.TREES):
+        parts.append(tree_forecasts(rows, features, target, horizon, columns, trees, parameters))
+    anchors = rows.groupBy("area").agg(F.max_by(target, "year").alias("anchor"))
+    free = clamp(reduce(DataFrame.unionByName, parts), anchors.where("anchor <> 0"), digits=digits)
+    return free.select("area", "model", "year", "forecast")
+
+
+def best_forecasts(df: DataFrame, best: DataFrame, target: str, horizon: int, features: list[str] | None = None, columns: list[str] | None = None, parameters: dict[str, dict] | None = None, log: DataFrame | None = None, draws: int = DRAWS, held: int = 8) -> DataFrame:
+    """(area, model, year, forecast, lower_90, upper_90): each area's best model (area, model) drawn out with its interval.
+
+    Only the model wanted is computed. One-series and linear models refit on resampled
+    targets (see `recursive_forecast`). Trees are panel models, for which that would be
+    a fit of the whole panel a draw; their interval resamples the model's residuals in
+    `log` (`residual_bootstrap`; without a log the width is zero). Where a model gives
+    nothing, Holt goes on ("Holt (fallback)"), then the trend ("LinearTrend (last
+    resort)") with +- 1.645 tenths of the deviation. Areas without a best model have no rows."""
+    features, columns, parameters = features or [], columns or [], parameters or {}
+    wanted = best.select("area", F.col("model").alias("wanted"))
+    rows = df.join(wanted, "area")
+    is_tree = F.col("wanted").isin(*walkforward.TREES)
 
-
-def best_forecasts(df: DataFrame, best: DataFrame, target: str, horizon: int) -> DataFrame:
-    """Each area's best model drawn out; where it gives nothing, Holt ("Holt (fallback)"), then the trend ("LinearTrend (last resort)") with +- 1.645 tenths of the deviation."""
-    every = series_forecasts(df, target, horizon)
-    chosen = best.select("area", F.col("model").alias("wanted"))
-    rank = F.when(F.col("model") == F.col("wanted"), 0).when(F.col("model") == "Holt", 1).when(F.col("model") == "LinearTrend", 2)
-    rows = every.join(chosen, "area").withColumn("rank", rank).where("rank is not null")
-    rows = rows.withColumn("first", F.min("rank").over(Window.partitionBy("area"))).where("rank = first")
-    label = F.when(F.col("rank") == 0, F.col("model")).when(F.col("rank") == 1, "Holt (fallback)").otherwise("LinearTrend (last resort)")
-    spread = df.groupBy("area").agg((F.stddev_pop(target) * 0.1645).alias("half"))
-    return rows.join(spread, "area").select("area", label.alias("model"), "year", "forecast", (F.col("forecast") - F.col("half")).alias("lower_90"), (F.col("forecast") + F.col("half")).alias("upper_90"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, area = History.of(pdf, features, target, columns), pdf["area"].iloc[0]
+        for model, label in ((pdf["wanted"].iloc[0], None), ("Holt", "Holt (fallback)")):
+            try:
+                if model not in SERIES and model not in moments.MODELS:
+                    raise ValueError(f"no model {model}")
+                name, *found = h.interval(model, horizon, parameters.get(model, {}), draws, held, _random(area))
+                return _table(area, label or name, h.years[-1], *found)
+            except (np.linalg.LinAlgError, ValueError):
+                continue
+        point, half = one.linear(h.y, horizon), 1.645 * h.y.std() * 0.10
+        return _table(area, "LinearTrend (last resort)", h.years[-1], point, point - half, point + half)
+
+    grouped = _rows(rows.where(~is_tree), target, features, columns, "wanted").groupBy("area").applyInPandas(run, FORECAST)
+    asked = [r[0] for r in wanted.where(is_tree).select("wanted").distinct().collect()]  # two names at most
+    if not asked:
+        return grouped
+    ahead = tree_forecasts(df, features, target, horizon, columns, tuple(sorted(asked)), parameters).join(wanted.withColumnRenamed("wanted", "model"), ["area", "model"])
+    errors = log.join(wanted.withColumnRenamed("wanted", "model"), ["area", "model"]).select("area", "year", (F.col("y_actual") - F.col("y_pred")).alias("error")) if log is not None else None
+    if errors is None:
+        trees = ahead.withColumns({"lower_90": F.col("forecast"), "upper_90": F.col("forecast")})
+    else:
+        trees = residual_bootstrap(ahead, errors, draws)
+    return grouped.unionByName(trees.select(*grouped.columns))

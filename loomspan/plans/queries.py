@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as col
 from ..operators import features, forecast, growth, impute, metrics, reshape, robustness, serving, significance, stats, walkforward
+from ..operators.lineage import cut
 from ..sources import panel as source
-from . import prepare
+from . import prepare, report
 from .panels import ANCHORS, COLUMNS, DEMAND, FORECAST, LOG, METRICS, P1, P2, P3, SUBS, TEST, TRAIN, VAL, WIDE, months, quarters, user_days
 
 _queries: dict[str, Callable] = {}
@@ -525,6 +526,35 @@ def _(spark, d):
     return walkforward.tune_ridge(df, names, "demand", VAL)
 
 
+@query("j7_tuned_linear")
+def _(spark, d):
+    df, names = _matrix(spark, d)
+    return walkforward.tune_linear(df, names, "demand", VAL)
+
+
+@query("j7_tuned_trees")
+def _(spark, d):
+    df, names = _matrix(spark, d)
+    return walkforward.tune_trees(df, names, "demand", VAL).withColumn("parameters", F.to_json("parameters"))
+
+
+@query("j1_full_log")
+def _(spark, d):
+    df, names = _matrix(spark, d)
+    return metrics.with_errors(walkforward.full_log(df, names, "demand", YEARS))
+
+
+@query("j1_window_rows", _BASE, f"SELECT area, year, model, {rs('y_actual', 'y_pred')} FROM test WHERE model IN ('Naive', 'LinearTrend')")
+def _(spark, d):
+    return walkforward.full_log(demand(spark, d), [], "demand", YEARS, ("Naive", "LinearTrend"))
+
+
+@query("j1_model_report")
+def _(spark, d):
+    df, names = _matrix(spark, d)
+    return report.model_report(cut(walkforward.full_log(df, names, "demand", YEARS)), growth.last_known(demand(spark, d, VAL), "demand"))
+
+
 # --- forecasts -----------------------------------------------------------------------
 
 _FC = [P1, DEMAND, FORECAST]
@@ -551,10 +581,33 @@ def _(spark, d):
     return forecast.recursive_forecast(df.where(F.col("year") <= TEST), names, "demand", 6)
 
 
+@query("j8_recursive_exogenous")
+def _(spark, d):
+    df = features.trend(features.lag_features(wide(spark, d).where(F.col("year") <= TEST), ["URGENT", "LOW"]))
+    names = [f"{c}_{x}" for c in ("URGENT", "LOW") for x in ("lag1", "lag2", "lag3", "ma3", "ma5", "yoy")]
+    return forecast.recursive_forecast(reshape.drop_null_lags(df), [*names, "trend"], "URGENT", 6, columns=["LOW"])
+
+
+@query("j15_all_forecasts")
+def _(spark, d):
+    df, names = _matrix(spark, d)
+    return forecast.all_forecasts(df.where(F.col("year") <= TEST), names, "demand", 6)
+
+
+_LAST = "last AS (SELECT area, max_by(demand, year) AS anchor FROM demand WHERE year <= 2024 GROUP BY area)"
+
+
+@query("j15_trend_forecasts", [*_FC, _LAST], """SELECT area, m.model, year, round(least(greatest(forecast, anchor - abs(anchor) * (0.4 + 0.1 * (year - 2025))), anchor + abs(anchor) * (0.4 + 0.1 * (year - 2025))), 4) AS forecast
+FROM trend JOIN last USING (area), (VALUES ('Naive'), ('LinearTrend')) m(model)""")
+def _(spark, d):
+    return forecast.all_forecasts(demand(spark, d, TEST), [], "demand", 6, models=("Naive", "LinearTrend"), digits=None)
+
+
 @query("j16_best_forecasts")
 def _(spark, d):
-    best = metrics.best_models(metrics.accuracy(walkforward.series_predictions(demand(spark, d), "demand", YEARS)))
-    return forecast.best_forecasts(demand(spark, d, TEST), best, "demand", 6)
+    df, names = _matrix(spark, d)
+    found = cut(walkforward.full_log(df, names, "demand", YEARS))
+    return forecast.best_forecasts(df.where(F.col("year") <= TEST), metrics.best_models(metrics.accuracy(found)), "demand", 6, names, log=found)
 
 
 _EXTRA = """lw AS (UNPIVOT (SELECT * FROM wide2 WHERE area IN (SELECT area FROM wide2)) ON "URGENT", "LOW" INTO NAME feature VALUE value),
