@@ -64,23 +64,55 @@ def theta(y: np.ndarray, h: int = 1) -> np.ndarray:
     return level[k] + slope / 2 * (np.arange(h) + (1 - (1 - a) ** n) / a)
 
 
+def arma_likelihood(d: np.ndarray, p, q):
+    """-2 log likelihood of d as ARMA(1,1) with its variance at the maximum, for arrays of p and q, and the next value's forecast.
+
+    The exact one: one-step forecasts and their variances (in units of the noise) start
+    from the stationary law, as a Kalman filter of the two-element state would have it."""
+    p, q = np.broadcast_arrays(np.asarray(p, float), np.asarray(q, float))
+    r = (1 + 2 * p * q + q * q) / (1 - p * p)
+    ahead, squares, logs = np.zeros(p.shape), np.zeros(p.shape), np.zeros(p.shape)
+    for x in d:
+        e = x - ahead
+        squares, logs = squares + e * e / r, logs + np.log(r)
+        ahead = p * x + q / r * e
+        r = 1 + q * q - q * q / r
+    n = len(d)
+    return n * np.log(np.maximum(squares, 1e-300) / n) + logs + n * (1 + np.log(2 * np.pi)), ahead
+
+
+def fit_arma(d: np.ndarray) -> tuple[float, float]:
+    """(p, q) of greatest likelihood: the best of a grid, then simplex steps from there."""
+    grid = np.linspace(-0.98, 0.98, 50)
+    p, q = (x.ravel() for x in np.meshgrid(grid, grid))
+    loss, _ = arma_likelihood(d, p, q)
+    k = int(loss.argmin())
+    # a small simplex search in a space without bounds
+    cost = lambda z: float(arma_likelihood(d, 0.995 * np.tanh(z[0]), 0.995 * np.tanh(z[1]))[0])
+    start = np.arctanh(np.array([p[k], q[k]]) / 0.995)
+    z = [(cost(v), tuple(v)) for v in (start, start + [0.1, 0], start + [0, 0.1])]
+    for _ in range(60):
+        z.sort()
+        if z[2][0] - z[0][0] < 1e-9:
+            break
+        middle, worst = (np.array(z[0][1]) + z[1][1]) / 2, np.array(z[2][1])
+        tried = [(cost(v), tuple(v)) for v in (2 * middle - worst, 3 * middle - 2 * worst, (middle + worst) / 2)]
+        best = min(tried)
+        if best[0] < z[2][0]:
+            z[2] = best
+        else:
+            z[1:] = [(cost(v), tuple(v)) for v in ((np.array(x[1]) + z[0][1]) / 2 for x in z[1:])]
+    a, b = 0.995 * np.tanh(np.array(min(z)[1]))
+    return float(a), float(b)
+
+
 def arima111(y: np.ndarray, h: int = 1) -> np.ndarray:
-    """ARIMA(1,1,1) without constant by conditional sum of squares over a refined grid."""
+    """ARIMA(1,1,1) without constant by exact likelihood of the differences. Where they can't tell (fewer than three, or all zero) the last value goes on."""
     d = np.diff(y)
-    if len(d) < 3:
+    if len(d) < 3 or not d.any():
         return np.repeat(y[-1:], h)
-    p0, q0, width = 0.0, 0.0, 0.98
-    for _ in range(4):
-        p, q = (x.ravel() for x in np.meshgrid(np.clip(np.linspace(p0 - width, p0 + width, 15), -0.98, 0.98), np.clip(np.linspace(q0 - width, q0 + width, 15), -0.98, 0.98)))
-        e, sse = np.zeros_like(p), np.zeros_like(p)
-        for t in range(1, len(d)):
-            e = d[t] - p * d[t - 1] - q * e
-            sse = sse + e * e
-        k = int(sse.argmin())
-        p0, q0, last, width = p[k], q[k], e[k], width / 6
-    step = p0 * d[-1] + q0 * last
-    steps = step * p0 ** np.arange(h)
-    return y[-1] + np.cumsum(steps)
+    p, q = fit_arma(d)
+    return y[-1] + np.cumsum(float(arma_likelihood(d, p, q)[1]) * p ** np.arange(h))
 
 
 MODELS = {"Holt": holt, "DampedHolt": damped_holt, "Theta": theta, "ARIMA": arima111, "LinearTrend": linear}

@@ -12,11 +12,16 @@ from ..functions.pvalues import p_normal, p_student, p_wilcoxon
 
 
 def pairs(log: DataFrame, least: int = 3) -> DataFrame:
-    """(area, year, model_a, model_b, y, ea, eb): each unordered pair of models on the years both predict, pairs with under `least` such years left out."""
-    slim = log.where("y_actual is not null and y_pred is not null").select("area", "year", "model", "y_actual", (F.col("y_actual") - F.col("y_pred")).alias("e"))
-    a = slim.select("area", "year", F.col("model").alias("model_a"), F.col("y_actual").alias("y"), F.col("e").alias("ea"))
-    b = slim.select("area", "year", F.col("model").alias("model_b"), F.col("e").alias("eb"))
-    both = a.join(b, ["area", "year"]).where("model_a < model_b")
+    """(area, year, model_a, model_b, y, ea, eb): each unordered pair of models on the years both predict, pairs with under `least` such years left out.
+
+    The log crosses the network once, by area; the errors of a year become one row, and
+    its pairs are made inside that row, not by joining the log to itself. Windows and
+    aggregates by area and pair go on from there. A model that stands twice in a year
+    meets the others with each of its rows."""
+    slim = log.where("y_actual is not null and y_pred is not null").repartition("area")
+    year = slim.groupBy("area", "year").agg(F.sort_array(F.collect_list(F.struct("model", F.col("y_actual").alias("y"), (F.col("y_actual") - F.col("y_pred")).alias("e")))).alias("m"))
+    later = lambda a: F.transform(F.filter("m", lambda b: b["model"] > a["model"]), lambda b: F.struct(a["model"].alias("model_a"), b["model"].alias("model_b"), a["y"].alias("y"), a["e"].alias("ea"), b["e"].alias("eb")))
+    both = year.select("area", "year", F.inline(F.flatten(F.transform("m", later))))
     n = F.count("*").over(Window.partitionBy("area", "model_a", "model_b"))
     return both.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
 
@@ -67,12 +72,37 @@ def pair_errors(rows: DataFrame, keys: tuple[str, ...] = ("area", "model_a", "mo
 
 
 def significance_tests(log: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row per area and model pair: errors, statistics, p-values, significance at alpha."""
+    """One row per area and model pair: errors, statistics, p-values, significance at alpha.
+
+    All statistics are one aggregate over the pairs' rows, behind windows of the same
+    partitions: the squared differences' lag, and the rank of each absolute difference.
+    A rank among equal sizes is their mean; zeros, which Wilcoxon leaves out, rank
+    lowest and are taken off."""
     keys = ["area", "model_a", "model_b"]
-    rows = pairs(log)
-    found = pair_errors(rows).join(diebold_mariano(rows), keys).join(signed_ranks(rows).select(*keys, "w", "n_nonzero", "ties"), keys).join(paired_t(rows).drop("n"), keys)
-    found = found.withColumns({"dm_p": F.when(F.col("dm_ok"), p_normal(F.col("dm_stat"))).otherwise(1.0), "wx_p": p_wilcoxon(F.col("w"), F.col("n_nonzero"), F.col("ties")), "t_p": p_student(F.col("t_stat"), F.col("n") - 1)})
-    return found.withColumns({"wx_stat": F.col("w"), "significant_dm": F.col("dm_p") < alpha, "significant_wx": F.col("wx_p") < alpha}).drop("w", "ties", "dm_ok", "n_nonzero")
+    pair = Window.partitionBy(*keys)
+    d, t = F.col("ea") * F.col("ea") - F.col("eb") * F.col("eb"), F.abs("ea") - F.abs("eb")
+    rows = pairs(log).withColumns({"d": d, "t": t, "w": F.round(t, 9)}).withColumn("size", F.abs("w"))
+    rows = rows.withColumns({
+        "before": F.lag("d").over(pair.orderBy("year")),
+        "below": F.rank().over(pair.orderBy("size")) - 1,
+        "same": F.count("*").over(Window.partitionBy(*keys, "size")),
+        "zeros": F.count_if(F.col("w") == 0).over(pair),
+    })
+    rank = F.col("below") - F.col("zeros") + (F.col("same") + 1) / 2
+    signed = lambda hit: F.coalesce(F.sum(F.when(hit, rank)), F.lit(0.0))
+    mape = lambda e: F.avg(F.abs(F.try_divide(F.col(e), F.col("y")))) * 100
+    found = rows.groupBy(*keys).agg(
+        mape("ea").alias("mape_a"), mape("eb").alias("mape_b"), F.count("*").alias("n"), F.avg("d").alias("mean"),
+        ((F.var_samp("d") + 2 * F.coalesce(F.covar_samp(F.when(F.col("before").isNotNull(), F.col("d")), F.col("before")), F.lit(0.0))) / F.count("*")).alias("var"),
+        signed(F.col("w") > 0).alias("w_plus"), signed(F.col("w") < 0).alias("w_minus"), F.count_if(F.col("w") != 0).alias("n_nonzero"),
+        F.coalesce(F.sum(F.when(F.col("w") != 0, F.col("same") * F.col("same") - 1)), F.lit(0)).cast("double").alias("ties"),
+        F.coalesce(F.try_divide(F.avg("t"), F.stddev_samp("t") / F.sqrt(F.count("*"))), F.lit(0.0)).alias("t_stat"),
+    )
+    ok = F.coalesce(F.col("var") > 0, F.lit(False))
+    found = found.withColumns({"better_model": F.when(F.col("mape_a") < F.col("mape_b"), F.col("model_a")).otherwise(F.col("model_b")), "wx_stat": F.least("w_plus", "w_minus"), "dm_stat": F.when(ok, F.col("mean") / F.sqrt(F.when(ok, F.col("var")))).otherwise(0.0)})
+    found = found.withColumns({"dm_p": F.when(ok, p_normal(F.col("dm_stat"))).otherwise(1.0), "wx_p": p_wilcoxon(F.col("wx_stat"), F.col("n_nonzero"), F.col("ties")), "t_p": p_student(F.col("t_stat"), F.col("n") - 1)})
+    found = found.withColumns({"significant_dm": F.col("dm_p") < alpha, "significant_wx": F.col("wx_p") < alpha})
+    return found.select(*keys, "mape_a", "mape_b", "better_model", "n", "dm_stat", "t_stat", "dm_p", "wx_p", "t_p", "wx_stat", "significant_dm", "significant_wx")
 
 
 def significance_summary(tests: DataFrame) -> DataFrame:
@@ -82,8 +112,9 @@ def significance_summary(tests: DataFrame) -> DataFrame:
 def pct_pairs(log: DataFrame) -> DataFrame:
     """(area, year, model_a, model_b, ea, eb) of signed percentage errors; pairs meet on (area, year), so a model missing a year loses that year only."""
     slim = log.select("area", "year", "model", error_pct(F.col("y_pred"), F.col("y_actual")).alias("e")).where("e is not null")
-    a = slim.select("area", "year", F.col("model").alias("model_a"), F.col("e").alias("ea"))
-    return a.join(slim.select("area", "year", F.col("model").alias("model_b"), F.col("e").alias("eb")), ["area", "year"]).where("model_a < model_b")
+    year = slim.repartition("area").groupBy("area", "year").agg(F.sort_array(F.collect_list(F.struct("model", "e"))).alias("m"))
+    later = lambda a: F.transform(F.filter("m", lambda b: b["model"] > a["model"]), lambda b: F.struct(a["model"].alias("model_a"), b["model"].alias("model_b"), a["e"].alias("ea"), b["e"].alias("eb")))
+    return year.select("area", "year", F.inline(F.flatten(F.transform("m", later))))
 
 
 def hln(log: DataFrame, pooled: bool = False, horizon: int = 1) -> DataFrame:

@@ -230,7 +230,7 @@ FOREST_GRID = tuple({"numTrees": n, "maxDepth": d} for n in (50, 100) for d in (
 BOOST_GRID = tuple({"maxIter": n, "stepSize": s, "maxDepth": d} for n in (50, 100) for s in (0.05, 0.1) for d in (3, 5))
 
 
-def tune_trees(df: DataFrame, features: list[str], target: str, until: int, grids: dict[str, tuple[dict, ...]] | None = None, folds: int = 3, exact: bool = False, seed: int = 42, parallel: int = 4) -> DataFrame:
+def tune_trees(df: DataFrame, features: list[str], target: str, until: int, grids: dict[str, tuple[dict, ...]] | None = None, folds: int = 3, exact: bool = False, seed: int = 42, parallel: int = 8) -> DataFrame:
     """(model, parameters, folds, mae, rank) of panel trees over the expanding folds of `tune_linear`, best first.
 
     Successive halving: all candidates are fitted for the first fold, which trains on

@@ -460,6 +460,16 @@ def _(spark, d):
     return significance.significance_tests(log(spark, d))
 
 
+@query("j12_dm_flags", [*_BASE, _PAIRS, _DM], "SELECT area, model_a, model_b, v > 0 AND abs(mean / sqrt(v)) > 1.959964 AS significant_dm FROM dm")
+def _(spark, d):
+    return significance.significance_tests(log(spark, d)).select("area", "model_a", "model_b", "significant_dm")
+
+
+@query("d17_dm_summary", [*_BASE, _PAIRS, _DM], "SELECT area, count(*) AS total_pairs, count(CASE WHEN v > 0 AND abs(mean / sqrt(v)) > 1.959964 THEN 1 END) AS significant_dm FROM dm GROUP BY area")
+def _(spark, d):
+    return significance.significance_summary(significance.significance_tests(log(spark, d))).select("area", "total_pairs", "significant_dm")
+
+
 @query("d17_significance_summary")
 def _(spark, d):
     return significance.significance_summary(significance.significance_tests(log(spark, d)))
@@ -583,9 +593,9 @@ def _(spark, d):
 
 @query("j8_recursive_exogenous")
 def _(spark, d):
-    df = features.trend(features.lag_features(wide(spark, d).where(F.col("year") <= TEST), ["URGENT", "LOW"]))
+    df = prepare.feature_matrix(quarters(spark, d), SUBS, "URGENT", TRAIN).where(F.col("year") <= TEST)
     names = [f"{c}_{x}" for c in ("URGENT", "LOW") for x in ("lag1", "lag2", "lag3", "ma3", "ma5", "yoy")]
-    return forecast.recursive_forecast(reshape.drop_null_lags(df), [*names, "trend"], "URGENT", 6, columns=["LOW"])
+    return forecast.recursive_forecast(df, [*names, "trend"], "URGENT", 6, columns=["LOW"])
 
 
 @query("j15_all_forecasts")
@@ -594,10 +604,10 @@ def _(spark, d):
     return forecast.all_forecasts(df.where(F.col("year") <= TEST), names, "demand", 6)
 
 
-_LAST = "last AS (SELECT area, max_by(demand, year) AS anchor FROM demand WHERE year <= 2024 GROUP BY area)"
+_LAST = "last AS (SELECT area, max_by(demand, year) AS anchor, max(year) AS known FROM demand WHERE year <= 2024 GROUP BY area)"
 
 
-@query("j15_trend_forecasts", [*_FC, _LAST], """SELECT area, m.model, year, round(least(greatest(forecast, anchor - abs(anchor) * (0.4 + 0.1 * (year - 2025))), anchor + abs(anchor) * (0.4 + 0.1 * (year - 2025))), 4) AS forecast
+@query("j15_trend_forecasts", [*_FC, _LAST], """SELECT area, m.model, year, round(least(greatest(forecast, anchor - abs(anchor) * (0.4 + 0.1 * (year - known - 1))), anchor + abs(anchor) * (0.4 + 0.1 * (year - known - 1))), 4) AS forecast
 FROM trend JOIN last USING (area), (VALUES ('Naive'), ('LinearTrend')) m(model)""")
 def _(spark, d):
     return forecast.all_forecasts(demand(spark, d, TEST), [], "demand", 6, models=("Naive", "LinearTrend"), digits=None)

@@ -60,3 +60,40 @@ def test_metadata_lists_every_area(spark):
 
     df = spark.range(1500).select(F.format_string("a%04d", "id").alias("area"), F.lit(2000).alias("year"), F.rand(1).alias("y"), F.rand(2).alias("x_lag1"))
     assert len(prepare.metadata(df, "y", ["x"], 2016, 2020, 2024)["countries"]) == 1500
+
+
+def test_arma_likelihood_is_exact():
+    """Against the joint normal density with the covariances written out, and the closed form of an AR(1)."""
+    d = np.array([1.0, -0.4, 0.8, 2.0, -1.1, 0.3, 0.9])
+    n, at = len(d), np.arange(len(d))
+
+    def joint(p, q):
+        g0, g1 = (1 + 2 * p * q + q * q) / (1 - p * p), (1 + p * q) * (p + q) / (1 - p * p)
+        lag = np.abs(at[:, None] - at)
+        cov = np.where(lag == 0, g0, g1 * float(p) ** np.maximum(lag - 1, 0))
+        s2 = d @ np.linalg.solve(cov, d) / n
+        return n * np.log(s2) + np.linalg.slogdet(cov)[1] + n * (1 + np.log(2 * np.pi))
+
+    for p, q in ((0.5, 0.3), (-0.6, 0.8), (0.9, -0.4), (0.0, 0.5)):
+        assert float(series.arma_likelihood(d, p, q)[0]) == pytest.approx(joint(p, q))
+    p = 0.7
+    squares = (1 - p * p) * d[0] ** 2 + ((d[1:] - p * d[:-1]) ** 2).sum()
+    loss, ahead = series.arma_likelihood(d, p, 0.0)
+    assert float(loss) == pytest.approx(n * np.log(squares / n) - np.log(1 - p * p) + n * (1 + np.log(2 * np.pi))) and float(ahead) == pytest.approx(p * d[-1])
+
+
+def test_arima_finds_the_best():
+    rng = np.random.default_rng(5)
+    for p, q in ((0.7, 0.2), (-0.5, 0.4), (0.3, -0.8)):
+        e, d = rng.normal(size=200), [0.0]
+        for t in range(1, 200):
+            d.append(p * d[-1] + e[t] + q * e[t - 1])
+        y = np.cumsum(d)
+        grid = np.linspace(-0.99, 0.99, 199)
+        a, b = (x.ravel() for x in np.meshgrid(grid, grid))
+        found = series.fit_arma(np.diff(y))
+        assert float(series.arma_likelihood(np.diff(y), *found)[0]) <= series.arma_likelihood(np.diff(y), a, b)[0].min() + 1e-6
+        got = series.arima111(y, 3)
+        assert got[0] - y[-1] == pytest.approx(float(series.arma_likelihood(np.diff(y), *found)[1]))
+        assert (got[2] - got[1]) == pytest.approx((got[1] - got[0]) ** 2 / (got[0] - y[-1]), rel=1e-6)  # steps fade by p
+    assert series.arima111(np.full(10, 3.0), 2).tolist() == [3, 3]

@@ -21,7 +21,7 @@ def test_query(spark, con, name):
     assert differ(got, con.execute(panel.oracle_sql()[name]).fetchdf()) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(panel.queries()) - set(panel.oracle_sql()) - {"j5_tree_walk_forward"}))
+@pytest.mark.parametrize("name", sorted(set(panel.queries()) - set(panel.oracle_sql()) - {"j5_tree_walk_forward", "j1_full_log", "j7_tuned_trees"}))
 def test_rows(spark, name):
     assert panel.queries()[name](spark, SF).count() > 0
 
