@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, change_pct, correlation, series
+from .lineage import numbered
 
 SHARE_WORDS = ("generation", "wind", "solar", "hydro", "coal", "gas", "nuclear", "other")
 
@@ -45,10 +46,8 @@ def trend(df: DataFrame) -> DataFrame:
 
 
 def area_codes(df: DataFrame) -> DataFrame:
-    """country_code: the area's place in alphabetical order, from 0. Ranked on the small table of areas, joined back."""
-    areas = df.select("area").distinct()
-    codes = areas.withColumn("country_code", (F.row_number().over(Window.orderBy("area")) - 1).cast("int"))
-    return df.join(codes, "area", "left")
+    """country_code: the area's place in alphabetical order, from 0 (null for a null area). Numbered by ranges on the table of areas, joined back."""
+    return df.join(numbered(df.select("area").where("area is not null").distinct(), "area", "country_code"), "area", "left")
 
 
 def correlations(df: DataFrame, columns: list[str], target: str, train_until: int | None = None) -> DataFrame:

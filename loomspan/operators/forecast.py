@@ -16,6 +16,7 @@ from ..functions import series as one
 from ..functions.columns import clip, series
 from . import walkforward
 from .lineage import cut
+from .stats import quantiles
 
 DRAWS = 200  # resampled paths behind an interval
 SERIES = one.MODELS | {"Naive": one.linear}  # over several steps Naive is the trend
@@ -297,7 +298,7 @@ def tree_forecasts(df: DataFrame, features: list[str], target: str, horizon: int
 
     columns = columns or []
     rows, release = walkforward.assembled(df, features, target)
-    middle = df.where(F.col(target).isNotNull()).agg(*[F.median(F.col(f).cast("double")).alias(f) for f in features]).first()
+    middle = {f: v[0] for f, v in quantiles(df.where(F.col(target).isNotNull()), features, [0.5]).items()}
     codes = [f for f in features if f in ("area_code", "country_code")]
     start = cut(_ahead(df, target, horizon, columns, codes[0] if codes else None).withColumn("horizon", F.lit(horizon)))
     pack, parts = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features"), []

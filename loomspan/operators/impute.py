@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
+from .stats import quantiles
 
 _ALL_BEFORE, _ALL_BEHIND = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -54,10 +55,9 @@ def clipped_counts(df: DataFrame, bounds: DataFrame, columns: list[str]) -> Data
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Infinities and gaps become the column's median over the whole table; a column without a value stays null."""
+    middle = quantiles(df, columns, [0.5])
     finite = {c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)) for c in columns}
-    medians = df.agg(*[F.percentile(x, 0.5).alias(f"_{c}") for c, x in finite.items()])
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(medians.withColumn("_one", F.lit(1))), "_one")
-    return joined.withColumns({c: F.coalesce(x, F.col(f"_{c}")) for c, x in finite.items()}).select(df.columns)
+    return df.withColumns({c: F.coalesce(x, F.lit(middle[c][0]).cast("double")) for c, x in finite.items()})
 
 
 def sparse_columns(df: DataFrame, columns: list[str], until: int, most: float = 0.8) -> list[str]:

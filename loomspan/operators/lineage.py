@@ -1,10 +1,11 @@
-"""Cutting a plan's past."""
+"""Cutting a plan's past, and numbering rows in order without one task that sees them all."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +19,20 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="loomspan-"))
     return df.checkpoint()
+
+
+def numbered(names: DataFrame, by: str, name: str, first: int = 0) -> DataFrame:
+    """names with `name`, the row's place in the order of the column `by`, from `first`. The column is unique and without nulls.
+
+    Rows are dealt by ranges and numbered inside them; what lies before a range is the
+    sum of the others' counts, one number a partition. The ranges are checkpointed, so
+    that a row's partition is the same for the counts and for the numbers."""
+    ranged = cut(names.repartitionByRange(by)).withColumn("_part", F.spark_partition_id())
+    before, offsets = first, []
+    for part, n in sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # a row a partition
+        offsets.append((part, before))
+        before += n
+    table = names.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    placed = ranged.withColumn("_n", within).join(F.broadcast(table), "_part")
+    return placed.withColumn(name, (F.col("_before") + F.col("_n") - 1).cast("int")).drop("_part", "_n", "_before")

@@ -34,6 +34,24 @@ def with_period(df: DataFrame, periods: list[tuple[int, int, str]], normal: str
     return df.withColumn("period", label)
 
 
+def with_periods(df: DataFrame, periods: DataFrame, normal: str = "Normal") -> DataFrame:
+    """period of each row by a table (place, start, end, name) of any length: the interval of the lowest place that holds its year.
+
+    Each interval lies in at most two cells of the power of four that is at least its
+    length, so years and intervals meet by (cell width, cell), never by comparing all.
+    Only the different years are looked up. Rows with a null year, and those in no
+    interval, are `normal`; intervals with a null or a start behind their end hold nothing."""
+    held = periods.where("start <= end").select("place", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "name")
+    held = held.withColumn("width", F.pow(F.lit(4.0), F.ceil(F.log2((F.col("end") - F.col("start") + 1).cast("double")) / 2)).cast("long"))
+    cell = lambda c: F.expr(f"({c} - pmod({c}, width)) div width")
+    cells = held.withColumn("cell", F.explode(F.sequence(cell("start"), cell("end"))))
+    widths = sorted(r[0] for r in held.select("width").distinct().collect())  # 32 at most: powers of four
+    years = df.select(F.col("year").cast("long").alias("_year")).where("_year is not null").distinct()
+    asked = years.select("_year", F.explode(F.array(*[F.lit(w).cast("long") for w in widths]).cast("array<bigint>")).alias("width")).withColumn("cell", cell("_year"))
+    first = asked.join(cells, ["width", "cell"]).where("_year >= start and _year <= end").groupBy("_year").agg(F.min_by("name", "place").alias("period"))
+    return df.join(first, F.col("year") == F.col("_year"), "left").withColumn("period", F.coalesce("period", F.lit(normal))).drop("_year")
+
+
 def scatter(wide: DataFrame, x: str, y: str, periods: list[tuple[int, int, str]]) -> DataFrame:
     return with_period(wide.select("area", "year", F.col(x).alias("x"), F.col(y).alias("y")).dropna(subset=["x", "y"]), periods)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import percent_text
@@ -40,9 +42,71 @@ def coverage(df: DataFrame, target: str, years: list[int]) -> DataFrame:
     return df.groupBy("area").pivot("year", years).agg(F.count(target))
 
 
+PROBES = 1024  # parts that a round cuts the range around a quantile into
+LAST = 4096  # values of a part that are fetched and sorted
+
+
+def _part(probes: int) -> Column:
+    """The part of its range (lo, hi) that a value v lies in, each step monotone, so that parts never overlap.
+
+    A range around zero falls into negative, zero and positive; one of far apart sizes is
+    cut by the logarithm, any other into equal widths (halved, to stay finite)."""
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    up = lambda x, a, b: F.floor((F.ln(x) - F.ln(a)) / (F.ln(b) - F.ln(a)) * probes)
+    far = lambda a, b: F.ln(b) - F.ln(a) > 7.0
+    wide = F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * probes)
+    return F.when((lo <= 0) & (hi >= 0), F.signum(v)).when((lo > 0) & far(lo, hi), up(v, lo, hi)).when((hi < 0) & far(-hi, -lo), -up(-v, -hi, -lo)).otherwise(wide)
+
+
+def quantiles(df: DataFrame, columns: list[str], at: list[float], probes: int = PROBES, last: int = LAST) -> dict[str, list[float | None]]:
+    """Exact quantiles of whole columns with linear interpolation, null for a column without finite values.
+
+    Each round counts the values in equal parts of the range that holds a wanted place
+    and goes on inside the part it falls in, all columns and places in one pass, until a
+    part has one value or few enough to fetch. Memory is bounded by the probes, not by
+    the distinct values; df is read once a round (about ten at the very most), so give
+    a stored table."""
+    fine = lambda c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double"))
+    long = df.select(*[fine(c).alias(f"c{i}") for i, c in enumerate(columns)]).unpivot([], [f"c{i}" for i in range(len(columns))], "f", "v").where("v is not null")
+    whole = {r["f"]: r for r in long.groupBy("f").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    # wanted places: (column, place) -> range, rows below it and rows in it
+    places = {f: sorted({k for q in at for k in (math.floor(q * (r["n"] - 1)), math.ceil(q * (r["n"] - 1)))}) for f, r in whole.items()}
+    open_ = {(f, k): (whole[f]["lo"], whole[f]["hi"], 0, whole[f]["n"]) for f, ks in places.items() for k in ks}
+    found: dict[tuple[str, int], float] = {}
+    while open_:
+        found |= {key: lo for key, (lo, hi, _, _) in open_.items() if lo == hi}
+        open_ = {key: r for key, r in open_.items() if key not in found}
+        ranges = sorted({(key[0], r[0], r[1], r[2], r[3]) for key, r in open_.items()})
+        if not ranges:
+            break
+        table = F.broadcast(df.sparkSession.createDataFrame([(f, lo, hi, n <= last, i) for i, (f, lo, hi, _, n) in enumerate(ranges)], "f string, lo double, hi double, few boolean, i int"))
+        met = long.join(table, "f").where("v >= lo and v <= hi")
+        part = _part(probes)
+        parts: dict[int, list] = {i: [] for i in range(len(ranges))}
+        # one row a part and range, or of a short range one a value
+        for r in met.groupBy("i", F.when(F.col("few"), F.col("v")).otherwise(part.cast("double")).alias("p")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            parts[r["i"]].append((r["lo"], r["hi"], r["n"]))
+        for (f, k), r in list(open_.items()):
+            below = r[2]
+            for lo, hi, n in sorted(parts[ranges.index((f, *r))]):
+                if k < below + n:
+                    open_[f, k] = (lo, hi, below, n)
+                    break
+                below += n
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(columns):
+        f = f"c{i}"
+        n = whole[f]["n"] if f in whole else 0
+        ends = [(found[f, math.floor(q * (n - 1))], found[f, math.ceil(q * (n - 1))], q * (n - 1) % 1) if n else None for q in at]
+        out[c] = [None if e is None else e[0] + (e[1] - e[0]) * e[2] for e in ends]
+    return out
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, count, mean, std, min, q25, q50, q75, max), exact quantiles, rounded to 2."""
-    stats = lambda c: F.struct(F.lit(c).alias("feature"), F.count(c).alias("count"), *[F.round(x, 2).alias(n) for n, x in (("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("min", F.min(c)), ("q25", F.percentile(c, 0.25)), ("q50", F.percentile(c, 0.5)), ("q75", F.percentile(c, 0.75)), ("max", F.max(c)))])
+    exact = quantiles(df, columns, [0.25, 0.5, 0.75])
+    at = lambda c, i: F.lit(exact[c][i]).cast("double")
+    stats = lambda c: F.struct(F.lit(c).alias("feature"), F.count(c).alias("count"), *[F.round(x, 2).alias(n) for n, x in (("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("min", F.min(c)), ("q25", at(c, 0)), ("q50", at(c, 1)), ("q75", at(c, 2)), ("max", F.max(c)))])
     return df.agg(F.array(*[stats(c) for c in columns]).alias("a")).select(F.explode("a").alias("s")).select("s.*")
 
 

@@ -18,6 +18,7 @@ from ..functions import series as one
 from ..functions.columns import finite, series
 from .impute import sparse_columns
 from .lineage import cut
+from .stats import quantiles
 
 LEAST = 5  # years that a model needs
 TREES = ("RandomForest", "BoostedTrees")
@@ -180,12 +181,13 @@ def tune_linear(df: DataFrame, features: list[str], target: str, until: int, rid
     k = len(used)
     rows = df.where((F.col("year") <= until) & F.col(target).isNotNull())
     fine = {c: F.when(finite(F.col(c).cast("double")).isNotNull(), F.col(c).cast("double")) for c in used}
-    facts = rows.agg(F.min("year").alias("_lo"), F.max("year").alias("_hi"), F.avg(target).alias("_y"), *[F.median(fine[c]).alias(c) for c in used]).first()
+    facts = rows.agg(F.min("year").alias("_lo"), F.max("year").alias("_hi"), F.avg(target).alias("_y")).first()
     if facts["_lo"] is None or not used:
         return spark.createDataFrame([], "model string, alpha double, l1_ratio double, mae double, rank int")
-    rows = rows.select("year", F.array(*[F.coalesce(fine[c], F.lit(float(facts[c]))) for c in used]).alias("x"), F.col(target).cast("double").alias("y"))
+    middle = {c: v[0] for c, v in quantiles(rows, used, [0.5]).items()}
+    rows = rows.select("year", F.array(*[F.coalesce(fine[c], F.lit(middle[c])) for c in used]).alias("x"), F.col(target).cast("double").alias("y"))
     cuts = fold_bounds(facts["_lo"], facts["_hi"], folds)
-    about = np.array([float(facts[c]) for c in used]), np.array([float(facts["_y"])])
+    about = np.array([middle[c] for c in used]), np.array([float(facts["_y"])])
 
     def sums(batches):
         total: dict[int, moments.Moments] = {}

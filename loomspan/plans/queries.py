@@ -763,6 +763,14 @@ def _(spark, d):
     return stats.yearly(rows).join(stats.units(rows).select("subcategory", "unit"), "subcategory").select("subcategory", "year", "unit", "value")
 
 
+@query("c11_period_join", [P1, DEMAND], """SELECT area, year, coalesce((SELECT arg_min(n_name, n_nationkey) FROM nation WHERE year BETWEEN 1998 + n_nationkey % 20 AND 1998 + n_nationkey % 20 + n_regionkey * n_regionkey - 1), 'Normal') AS period FROM demand""")
+def _(spark, d):
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    start = 1998 + F.col("n_nationkey") % 20
+    periods = nation.select(F.col("n_nationkey").alias("place"), start.alias("start"), (start + F.col("n_regionkey") * F.col("n_regionkey") - 1).alias("end"), F.col("n_name").alias("name"))
+    return serving.with_periods(demand(spark, d), periods).select("area", "year", "period")
+
+
 _PERIODS = [(2003, 2005, "First"), (2005, 2008, "Second"), (2019, 2020, "Third")]
 
 

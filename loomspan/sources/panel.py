@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.columns import number, split_label
+from ..operators.lineage import numbered
 
 RAW = "Area string, Year string, Subcategory string, Unit string, Value string"
 
@@ -24,8 +25,8 @@ def read_long_csv(spark: SparkSession, path: str, areas: list[str] | None = None
 
 
 def star_schema(long: DataFrame, train_end: int, val_end: int, test_end: int, source: str = "", load_date: str | None = None) -> dict[str, DataFrame]:
-    """dim_country, dim_year (with split_label), dim_subcategory and fact of a long table. Keys are ranks of the names on the small dimension tables."""
-    key = lambda df, by, name: df.select((F.row_number().over(Window.orderBy(by))).cast("int").alias(name), "*")
+    """dim_country, dim_year (with split_label), dim_subcategory and fact of a long table. Keys are the places of the names in order, numbered by ranges; null names have none."""
+    key = lambda df, by, name: numbered(df.where(F.col(by).isNotNull()), by, name, 1).select(name, *df.columns)
     country = key(long.select(F.col("area").alias("area_name")).distinct(), "area_name", "country_key")
     years = long.select("year").distinct().select(F.col("year").cast("int").alias("year_key"), "year", split_label(F.col("year"), train_end, val_end, test_end).alias("split_label"))
     subs = key(long.groupBy(F.col("subcategory").alias("subcategory_name")).agg(F.min("unit").alias("unit")), "subcategory_name", "subcategory_key")
