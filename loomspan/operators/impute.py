@@ -60,8 +60,15 @@ def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(x, F.lit(middle[c][0]).cast("double")) for c, x in finite.items()})
 
 
-def sparse_columns(df: DataFrame, columns: list[str], until: int, most: float = 0.8) -> list[str]:
-    """Columns with a share of gaps below `most` in the years up to `until`. Runs one aggregate; the result is one row."""
+def gap_shares(df: DataFrame, columns: list[str], until: int) -> DataFrame:
+    """(feature, share) of null, NaN and infinite values in the years up to `until`, all columns in one pass; no rows, a null share."""
     gap = lambda c: F.avg(F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 1.0).otherwise(0.0))
-    row = df.where(F.col("year") <= until).agg(*[gap(c).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c] is not None and row[c] < most]
+    return df.where(F.col("year") <= until).agg(*[gap(c).alias(c) for c in columns]).unpivot([], columns, "feature", "share")
+
+
+def sparse_columns(df: DataFrame, columns: list[str], until: int, most: float = 0.8) -> list[str]:
+    """Columns with a share of gaps below `most` in the years up to `until`. Runs one aggregate; the result is a row a column."""
+    if not columns:
+        return []
+    shares = {r["feature"]: r["share"] for r in gap_shares(df, columns, until).collect()}
+    return [c for c in columns if shares[c] is not None and shares[c] < most]

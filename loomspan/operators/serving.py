@@ -13,6 +13,11 @@ def area_forecast(forecast: DataFrame, area: str) -> DataFrame:
     return same_area(forecast, area).orderBy("model", "year")
 
 
+def area_significance(tests: DataFrame, area: str) -> DataFrame:
+    """An area's model pairs, the most significant first."""
+    return same_area(tests, area).orderBy("dm_p", "model_a", "model_b")
+
+
 def histories(df: DataFrame, value: str) -> DataFrame:
     """(area, points): each area's series as one array in time order."""
     return df.groupBy("area").agg(F.sort_array(F.collect_list(F.struct("year", F.col(value).alias("value")))).alias("points"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import error_pct
 from ..functions.pvalues import p_normal, p_student, p_wilcoxon
+from .lineage import cut
 
 
 def pairs(log: DataFrame, least: int = 3) -> DataFrame:
@@ -117,17 +118,41 @@ def pct_pairs(log: DataFrame) -> DataFrame:
     return year.select("area", "year", F.inline(F.flatten(F.transform("m", later))))
 
 
+def _lags(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """rows with d1 to d`most`: d of so many rows before, by keys in order of (area, year).
+
+    Few keys may hold all rows, so rows are dealt by ranges of (keys, area, year) and
+    lagged inside each. What a range's first rows need of those before it is carried
+    over: the last `most` values of each range and key, some numbers a partition."""
+    ranged = cut(rows.repartitionByRange(*keys, "area", "year")).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part", *keys).orderBy("area", "year")
+    ranged = ranged.withColumns({"_i": F.row_number().over(inside), **{f"d{k}": F.lag("d", k).over(inside) for k in range(1, most + 1)}})
+    size = F.count("*").over(Window.partitionBy("_part", *keys))
+    tails = ranged.withColumn("_n", size).where(F.col("_i") > F.col("_n") - most).groupBy("_part", *keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "d"))), lambda t: t["d"]).alias("tail"))
+    carried, halo = {}, []
+    for r in sorted(tails.collect(), key=lambda r: r["_part"]):  # partitions x keys they hold, at most
+        key = tuple(r[k] for k in keys)
+        halo.append((r["_part"], *key, carried.get(key, [])))
+        carried[key] = (carried.get(key, []) + r["tail"])[-most:]
+    schema = "_part int, " + ", ".join(f"{k} string" for k in keys) + ", before array<double>"
+    ranged = ranged.join(F.broadcast(rows.sparkSession.createDataFrame(halo, schema)), ["_part", *keys])
+    # row i lacks its k-th before if k >= i: that is the (k - i + 1)-th from the end of what came before
+    return ranged.withColumns({f"d{k}": F.when(F.col("_i") > k, F.col(f"d{k}")).otherwise(F.get("before", F.size("before") - 1 - (k - F.col("_i")))) for k in range(1, most + 1)}).drop("_part", "_i", "before")
+
+
 def hln(log: DataFrame, pooled: bool = False, horizon: int = 1) -> DataFrame:
     """Diebold-Mariano with the small-sample correction of Harvey, Leybourne and Newbold, on signed percentage errors.
 
-    Per area and pair, or pooled over areas; n below 2: null. The pooled groups are
-    few and hold all rows, so for horizon 1 they are plain aggregates."""
+    Per area and pair, or pooled over areas, which follow one another by name; n below
+    2: null. The pooled groups are few and hold all rows: for horizon 1 they are plain
+    aggregates, beyond it lags go by ranges."""
     keys = ["model_a", "model_b"] if pooled else ["area", "model_a", "model_b"]
     d = pct_pairs(log).withColumn("d", F.col("ea") * F.col("ea") - F.col("eb") * F.col("eb"))
     lags = range(1, horizon)
-    w = Window.partitionBy(*keys).orderBy("area", "year")
-    for k in lags:
-        d = d.withColumn(f"d{k}", F.lag("d", k).over(w))
+    if pooled and lags:
+        d = _lags(d, keys, horizon - 1)
+    else:
+        d = d.withColumns({f"d{k}": F.lag("d", k).over(Window.partitionBy(*keys).orderBy("area", "year")) for k in lags})
     g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.var_samp("d").alias("g0"), *[F.coalesce(F.covar_samp(F.when(F.col(f"d{k}").isNotNull(), F.col("d")), F.col(f"d{k}")), F.lit(0.0)).alias(f"g{k}") for k in lags])
     var = F.greatest(F.col("g0") + 2 * sum((F.col(f"g{k}") for k in lags), F.lit(0.0)), F.lit(1e-12)) / F.col("n")
     n, h = F.col("n").cast("double"), float(horizon)

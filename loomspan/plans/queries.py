@@ -489,6 +489,16 @@ def _(spark, d):
     return significance.hln(log(spark, d), pooled=True)
 
 
+_HLN_LAGS = """hy AS (SELECT a.model AS model_a, b.model AS model_b, a.area, a.year, a.e * a.e - b.e * b.e AS d FROM he a JOIN he b ON a.area = b.area AND a.year = b.year AND a.model < b.model WHERE a.e IS NOT NULL AND b.e IS NOT NULL),
+hl AS (SELECT *, lag(d) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM hy WINDOW w AS (PARTITION BY model_a, model_b ORDER BY area, year)),
+hg AS (SELECT model_a, model_b, count(*) AS n, avg(d) AS mean, var_samp(d) + 2 * covar_samp(d, d1) + 2 * covar_samp(d, d2) AS v FROM hl GROUP BY model_a, model_b)"""
+
+
+@query("j13_hln_pooled_lags", [*_BASE, _HLN, _HLN_LAGS], "SELECT model_a, model_b, n, round(mean / sqrt(greatest(v, 1e-12) / n) * sqrt(greatest((n - 5 + 6.0 / n) / n, 0)), 4) AS hln_stat FROM hg")
+def _(spark, d):
+    return significance.hln(log(spark, d), pooled=True, horizon=3)
+
+
 _WXP = _WX.replace("FROM pairs)", "FROM (SELECT a.model AS model_a, b.model AS model_b, a.e AS ea, b.e AS eb FROM he a JOIN he b ON a.area = b.area AND a.year = b.year AND a.model < b.model WHERE a.e IS NOT NULL AND b.e IS NOT NULL))").replace("area, model_a", "model_a")
 
 
@@ -795,6 +805,16 @@ def _(spark, d):
     return reshape.same_area(_queries["e9_robustness_against_accuracy"](spark, d), _area(spark, d))
 
 
+@query("k7_area_significance", [*_BASE, _PAIRS, _DM], f"SELECT area, model_a, model_b, n, round(CASE WHEN v > 0 THEN mean / sqrt(v) ELSE 0 END, 4) AS dm_stat FROM dm WHERE area = {_AREA}")
+def _(spark, d):
+    return serving.area_significance(significance.significance_tests(log(spark, d)), _area(spark, d)).select("area", "model_a", "model_b", "n", "dm_stat")
+
+
+@query("b8_gap_shares", [P2, _WIDE2, _DENSE], " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(CASE WHEN \"{c}\" IS NULL THEN 1.0 ELSE 0.0 END), 4) AS share FROM dense WHERE year <= 40" for c in COLUMNS))
+def _(spark, d):
+    return impute.gap_shares(dense(spark, d), COLUMNS, 40)
+
+
 @query("k8_growth_by_area", [*_FC, _BETWEEN], f"SELECT area, growth_pct, cagr_pct FROM btw WHERE area = {_AREA}")
 def _(spark, d):
     return reshape.same_area(growth.growth_between(demand(spark, d), trend(spark, d), "demand", 2020, 2028), _area(spark, d)).select("area", "growth_pct", "cagr_pct")

@@ -59,14 +59,28 @@ def from_star(star: dict[str, DataFrame], areas: list[str] | None = None, split:
     return rows.select(F.col("area_name").alias("area"), "year", F.col("subcategory_name").alias("subcategory"), "unit", "value")
 
 
+def read_measurements(spark: SparkSession, source: str, path: str, areas: list[str] | None = None, split: str | None = None) -> DataFrame:
+    """(area, year, subcategory, unit, value) from a CSV file (source "csv") or a star schema's folder ("warehouse"): one schema either way.
+
+    The warehouse holds the mean of repeated measurements and one unit a subcategory; a
+    split is labelled only there."""
+    if source == "csv":
+        if split is not None:
+            raise ValueError("a CSV file has no split labels")
+        return read_long_csv(spark, path, areas)
+    if source == "warehouse":
+        return from_star(read_star(spark, path), areas, split)
+    raise ValueError(f"no source {source}")
+
+
 def create_views(star: dict[str, DataFrame]) -> None:
     from_star(star).createOrReplaceTempView("v_all_measurements")
     from_star(star, split="train").createOrReplaceTempView("v_train_measurements")
 
 
-def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """A result table as Parquet, or CSV with a header."""
-    writer = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, kind: str = "parquet", order: list | None = None) -> None:
+    """A result table as Parquet, or CSV with a header. With an order (names or columns), files follow one another in it, each sorted."""
+    writer = (df if order is None else df.repartitionByRange(*order).sortWithinPartitions(*order)).write.mode("overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspan.operators import features, impute, lineage, serving, stats
+from loomspan.operators import features, impute, lineage, reshape, serving, significance, stats
 from loomspan.sources import panel
 
 
@@ -61,3 +62,48 @@ def test_interval_table(spark):
         assert got[y] == [want, want]
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["period"] for r in serving.with_periods(df, table.limit(0)).collect()} == {"Normal"}
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_lags_by_ranges(spark, most):
+    """Ranges of a few rows, keys that end inside one: the same lags as one window per key."""
+    rng = np.random.default_rng(9)
+    rows = [(a, y, "A", b, float(rng.normal())) for b, n in (("B", 40), ("C", 3), ("D", 1), ("E", 25)) for a, y in sorted({(f"a{rng.integers(6)}", int(rng.integers(50))) for _ in range(n)})]
+    df = spark.createDataFrame(rows, "area string, year int, model_a string, model_b string, d double").repartition(9)
+    got = {tuple(r[:4]): tuple(r[4:]) for r in significance._lags(df, ["model_a", "model_b"], most).select("area", "year", "model_a", "model_b", *[f"d{k}" for k in range(1, most + 1)]).collect()}
+    w = Window.partitionBy("model_a", "model_b").orderBy("area", "year")
+    want = {tuple(r[:4]): tuple(r[4:]) for r in df.select("area", "year", "model_a", "model_b", *[F.lag("d", k).over(w) for k in range(1, most + 1)]).collect()}
+    assert got == want and len(got) == len(rows)
+
+
+def test_sources_share_a_schema(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("Area , Year,Subcategory,Unit,Value\na,2000,x,TWh,1.5\nb,2017,x,TWh,bad\na,2021,y,TWh,2.5\n")
+    long = panel.read_measurements(spark, "csv", str(tmp_path / "m.csv"))
+    panel.write_star(panel.star_schema(long, 2016, 2020, 2024, load_date="2024-01-01"), str(tmp_path / "star"))
+    back = panel.read_measurements(spark, "warehouse", str(tmp_path / "star"))
+    assert [f.simpleString() for f in back.schema] == [f.simpleString() for f in long.schema]
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, long.collect()), key=str)
+    assert [tuple(r)[:2] for r in panel.read_measurements(spark, "warehouse", str(tmp_path / "star"), ["a"], "train").collect()] == [("a", 2000)]
+    with pytest.raises(ValueError):
+        panel.read_measurements(spark, "csv", str(tmp_path / "m.csv"), split="train")
+    with pytest.raises(ValueError):
+        panel.read_measurements(spark, "queue", "")
+
+
+def test_sorted_sink(spark, tmp_path):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), (-F.col("id")).alias("v")).repartition(5)
+    panel.write_table(df, str(tmp_path / "t"), order=["k"])
+    parts = sorted((tmp_path / "t").glob("*.parquet"))
+    assert [r["k"] for p in parts for r in spark.read.parquet(str(p)).collect()] == list(range(500))
+
+
+def test_gap_shares_and_pairs(spark):
+    df = spark.createDataFrame([(2000, None, 1.0), (2001, float("nan"), 1.0), (2002, 3.0, float("inf")), (2003, 3.0, 1.0), (2050, None, None)], "year int, x double, y double")
+    assert {r["feature"]: r["share"] for r in impute.gap_shares(df, ["x", "y"], 2003).collect()} == {"x": 0.5, "y": 0.25}
+    assert impute.sparse_columns(df, ["x", "y"], 2003, 0.5) == ["y"] and impute.sparse_columns(df, [], 2003) == []
+    log = spark.createDataFrame([("a", 2000 + t, m, 10.0 + t, 10.0 + t + e) for t in range(6) for m, e in (("M", 0.1 * t), ("N", 1.0), ("O", (-1.0) ** t))], "area string, year int, model string, y_actual double, y_pred double")
+    rows = serving.area_significance(significance.significance_tests(log), "A").collect()
+    assert len(rows) == 3 and [r["dm_p"] for r in rows] == sorted(r["dm_p"] for r in rows)
+    plan = significance.significance_tests(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 0
+    assert reshape.same_area(significance.significance_tests(log.limit(0)), "a").isEmpty()
