@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -306,6 +307,27 @@ def _(spark, d):
     return prepare.feature_matrix(quarters(spark, d), SUBS, "URGENT", TRAIN)
 
 
+# The whole matrix in SQL: imputed, capped, the two ratios by their place (their names depend on the data), lags, trend, code.
+_FULL1 = "full1 AS (SELECT area, year, " + re.sub(r"round\((CASE.*?END), 4\) AS", r"\1 AS", _IMPUTED).replace("year <= 40", "year <= 2016") + " FROM parts)"
+_CAPPED1 = (
+    "bounds1 AS (SELECT area, " + ", ".join(f'quantile_cont("{c}", 0.25) AS "{c}_a", quantile_cont("{c}", 0.75) AS "{c}_b"' for c in COLUMNS) + " FROM full1 WHERE year <= 2016 GROUP BY area), "
+    "capped AS (SELECT area, year, " + ", ".join(f'CASE WHEN "{c}" IS NOT NULL THEN least(greatest("{c}", "{c}_a" - 2.5 * ("{c}_b" - "{c}_a")), "{c}_b" + 2.5 * ("{c}_b" - "{c}_a")) END AS "{c}"' for c in COLUMNS) + " FROM full1 LEFT JOIN bounds1 USING (area))"
+)
+_TOP1 = "corrs AS (" + " UNION ALL ".join(f"SELECT '{c}' AS f, {_CORR(c, 'URGENT')} AS r FROM capped WHERE year <= 2016" for c in COLUMNS if c != "URGENT") + "), top AS (SELECT f, row_number() OVER (ORDER BY abs(r) DESC, f) AS k FROM corrs WHERE r IS NOT NULL)"
+_RATIO = lambda k: f'"URGENT" / (CASE (SELECT f FROM top WHERE k = {k}) ' + " ".join(f"WHEN '{c}' THEN \"{c}\"" for c in COLUMNS) + " END + 1e-9)"
+_SPAN1 = _DENSE.replace("wide2", "wide")
+_WHOLE = [P1, _WIDE1, _SPAN1, _IMPUTE.replace("year <= 40", "year <= 2016").replace("year = 40", "year = 2016"), _FULL1, _CAPPED1, _TOP1]
+_GAPLESS = " AND ".join(f'"{c}_lag{k}" IS NOT NULL' for c in COLUMNS for k in (1, 2, 3))
+
+
+@query("feature_matrix_whole", _WHOLE, f"""SELECT * FROM (SELECT area, year, {rs(*COLUMNS)}, {", ".join(map(_lags, COLUMNS))}, round({_RATIO(1)}, 4) AS ratio_1, round({_RATIO(2)}, 4) AS ratio_2,
+year - (SELECT min(year) FROM capped) AS trend, (year - (SELECT min(year) FROM capped)) ** 2 AS trend_sq, CAST(dense_rank() OVER (ORDER BY area) - 1 AS INT) AS country_code FROM capped) WHERE {_GAPLESS}""")
+def _(spark, d):
+    df = prepare.feature_matrix(quarters(spark, d), SUBS, "URGENT", TRAIN)
+    ratios = [c for c in df.columns if c.startswith("demand_ratio_")]  # the better correlated one first
+    return df.withColumnsRenamed({c: f"ratio_{i}" for i, c in enumerate(ratios, 1)}).withColumn("trend_sq", F.col("trend_sq").cast("double"))
+
+
 # --- exploration -----------------------------------------------------------------
 
 @query("d2_yearly", [P1], "SELECT area, year, subcategory, round(CASE WHEN subcategory = 'LOW' THEN coalesce(sum(value), 0) ELSE avg(value) END, 4) AS value FROM p1 GROUP BY area, year, subcategory")
