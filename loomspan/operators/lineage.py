@@ -15,7 +15,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         path = sc.getConf().get("spark.checkpoint.dir")
-        if not path and not sc.master.startswith("local"):
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="loomspan-"))
     return df.checkpoint()

@@ -44,6 +44,11 @@ def rs(*names: str, digits: int = 4) -> str:
     return ", ".join(f'round("{n}", {digits}) AS "{n}"' for n in names)
 
 
+def cents(x):
+    """Hundredths as text, halves up on both sides whatever the order of a sum: how arrays are compared."""
+    return F.floor(x * 100 + 0.500001).cast("string")
+
+
 def demand(spark: SparkSession, d: str, until: int | None = None) -> DataFrame:
     df = prepare.single_series(quarters(spark, d), "demand")
     return df if until is None else df.where(F.col("year") <= until)
@@ -296,10 +301,10 @@ def _(spark, d):
     return features.scale(demand(spark, d), ["demand"], TRAIN)
 
 
-@query("e16_sliding_windows", [P1, DEMAND], "SELECT area, year, round(list_sum(x), 4) AS x_sum, len(x) AS n, round(y, 4) AS y FROM (SELECT area, year, demand AS y, list(demand) OVER (PARTITION BY area ORDER BY year ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS x FROM demand) WHERE len(x) = 5")
+@query("e16_sliding_windows", [P1, DEMAND], "SELECT area, year, round(list_sum(x), 4) AS x_sum, len(x) AS n, array_to_string(list_transform(x, lambda v: CAST(floor(v * 100 + 0.500001) AS BIGINT)), ' ') AS x, round(y, 4) AS y FROM (SELECT area, year, demand AS y, list(demand) OVER (PARTITION BY area ORDER BY year ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS x FROM demand) WHERE len(x) = 5")
 def _(spark, d):
     found = features.sliding_windows(demand(spark, d), ["demand"], "demand", 5)
-    return found.select("area", "year", F.aggregate("x", F.lit(0.0), lambda s, v: s + v[0]).alias("x_sum"), F.size("x").cast("bigint").alias("n"), "y")
+    return found.select("area", "year", F.aggregate("x", F.lit(0.0), lambda s, v: s + v[0]).alias("x_sum"), F.size("x").cast("bigint").alias("n"), F.array_join(F.transform("x", lambda v: cents(v[0])), " ").alias("x"), "y")
 
 
 @query("feature_matrix")
@@ -783,10 +788,10 @@ def _(spark, d):
     return serving.area_forecast(trend(spark, d), _area(spark, d).lower())
 
 
-@query("k2_histories", [P1, DEMAND], "SELECT area, count(*) AS n, min(year) AS first_year, round(sum(demand), 4) AS total FROM demand GROUP BY area")
+@query("k2_histories", [P1, DEMAND], "SELECT area, count(*) AS n, min(year) AS first_year, round(sum(demand), 4) AS total, string_agg(year || '=' || CAST(floor(demand * 100 + 0.500001) AS BIGINT), ' ' ORDER BY year) AS points FROM demand GROUP BY area")
 def _(spark, d):
     found = serving.histories(demand(spark, d), "demand")
-    return found.select("area", F.size("points").cast("bigint").alias("n"), F.get("points", F.lit(0))["year"].alias("first_year"), F.aggregate("points", F.lit(0.0), lambda s, p: s + p["value"]).alias("total"))
+    return found.select("area", F.size("points").cast("bigint").alias("n"), F.get("points", F.lit(0))["year"].alias("first_year"), F.aggregate("points", F.lit(0.0), lambda s, p: s + p["value"]).alias("total"), F.array_join(F.transform("points", lambda p: F.concat_ws("=", p["year"].cast("string"), cents(p["value"]))), " ").alias("points"))
 
 
 @query("k3_subcategory_series", [P1], f"SELECT subcategory, year, unit, round(avg(value), 4) AS value FROM p1 WHERE area = {_AREA} GROUP BY ALL")
@@ -811,10 +816,10 @@ def _(spark, d):
     return serving.scatter(wide(spark, d), "URGENT", "LOW", _PERIODS)
 
 
-@query("k5_model_paths", _BASE, f"SELECT model, count(*) AS n, round(sum(y_pred), 4) AS total FROM test WHERE area = {_AREA} GROUP BY model")
+@query("k5_model_paths", _BASE, f"SELECT model, count(*) AS n, round(sum(y_pred), 4) AS total, string_agg(year || '=' || CAST(floor(y_pred * 100 + 0.500001) AS BIGINT), ' ' ORDER BY year) AS points FROM test WHERE area = {_AREA} GROUP BY model")
 def _(spark, d):
     found = serving.model_paths(as_forecast(spark, d), _area(spark, d))
-    return found.select("model", F.size("points").cast("bigint").alias("n"), F.aggregate("points", F.lit(0.0), lambda s, p: s + p["forecast"]).alias("total"))
+    return found.select("model", F.size("points").cast("bigint").alias("n"), F.aggregate("points", F.lit(0.0), lambda s, p: s + p["forecast"]).alias("total"), F.array_join(F.transform("points", lambda p: F.concat_ws("=", p["year"].cast("string"), cents(p["forecast"]))), " ").alias("points"))
 
 
 @query("k6_area_metrics", [*_BASE, METRICS], f"SELECT m.area, m.model, round(m.mae, 4) AS mae, round(m.rmse, 4) AS rmse, round(m.mape, 4) AS mape, b.model IS NOT NULL AS best FROM metrics m LEFT JOIN best b ON m.area = b.area AND m.model = b.model WHERE m.area = {_AREA}")
