@@ -49,19 +49,35 @@ def damped_holt(y: np.ndarray, h: int = 1) -> np.ndarray:
     return holt(y, h, 0.85)
 
 
+def ma_with_drift(d: np.ndarray, q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(-2 log likelihood, drift, forecast of the next deviation) of d as drift plus MA(1), for an array of q.
+
+    The exact one: the same filter goes over d and over a constant, and the drift is
+    the weighted regression of one on the other."""
+    q = np.asarray(q, float)
+    r, ahead, unit, last = 1 + q * q, np.zeros(q.shape), np.zeros(q.shape), (0.0, 0.0)
+    ee, eu, uu, logs = (np.zeros(q.shape) for _ in range(4))
+    for x in d:
+        e, u = x - ahead, 1 - unit
+        ee, eu, uu, logs = ee + e * e / r, eu + e * u / r, uu + u * u / r, logs + np.log(r)
+        last = q / r * e, q / r * u
+        ahead, unit = last
+        r = 1 + q * q - q * q / r
+    n, drift = len(d), eu / uu
+    return n * np.log(np.maximum(ee - eu * drift, 1e-300) / n) + logs + n * (1 + np.log(2 * np.pi)), drift, last[0] - drift * last[1]
+
+
 def theta(y: np.ndarray, h: int = 1) -> np.ndarray:
-    """Simple exponential smoothing with half the linear trend as drift."""
+    """Exponential smoothing with half the drift of an ARIMA(0,1,1), both by exact likelihood; a smoothing weight over 1 becomes 0.9998."""
     if len(y) < 3:
         return np.repeat(y[-1:], h)
-    slope = np.polyfit(np.arange(len(y)), y, 1)[0]
-    alpha = np.linspace(0.01, 0.99, 99)
-    level, sse = y[0] + 0 * alpha, 0 * alpha
-    for x in y[1:]:
-        sse = sse + (x - level) ** 2
-        level = level + alpha * (x - level)
-    k, n = int(sse.argmin()), len(y)
-    a = alpha[k]
-    return level[k] + slope / 2 * (np.arange(h) + (1 - (1 - a) ** n) / a)
+    d, q, width = np.diff(y), np.linspace(-0.999, 0.999, 400), 0.005
+    for _ in range(3):
+        best = float(q[ma_with_drift(d, q)[0].argmin()])
+        q, width = np.clip(np.linspace(best - width, best + width, 41), -0.9999, 0.9999), width / 20
+    a = 0.9998 if best > 0 else 1 + best
+    _, drift, ahead = (float(v[0]) for v in ma_with_drift(d, np.array([a - 1])))
+    return y[-1] + ahead + drift / 2 * (np.arange(h) + (1 - (1 - a) ** len(y)) / a)
 
 
 def arma_likelihood(d: np.ndarray, p, q):

@@ -97,3 +97,24 @@ def test_arima_finds_the_best():
         assert got[0] - y[-1] == pytest.approx(float(series.arma_likelihood(np.diff(y), *found)[1]))
         assert (got[2] - got[1]) == pytest.approx((got[1] - got[0]) ** 2 / (got[0] - y[-1]), rel=1e-6)  # steps fade by p
     assert series.arima111(np.full(10, 3.0), 2).tolist() == [3, 3]
+
+
+def test_theta_is_smoothing_with_half_the_drift():
+    d = np.array([1.0, 2.5, -0.5, 1.8, 0.2, 1.4, 0.9, 2.1])
+    n = len(d)
+    q = np.array([-0.7, -0.3, 0.4])
+    loss, drift, ahead = series.ma_with_drift(d, q)
+    for k, v in enumerate(q):
+        cov = (1 + v * v) * np.eye(n) + v * (np.eye(n, k=1) + np.eye(n, k=-1))
+        one = np.ones(n)
+        c = one @ np.linalg.solve(cov, d) / (one @ np.linalg.solve(cov, one))
+        s2 = (d - c) @ np.linalg.solve(cov, d - c) / n
+        assert drift[k] == pytest.approx(c) and loss[k] == pytest.approx(n * np.log(s2) + np.linalg.slogdet(cov)[1] + n * (1 + np.log(2 * np.pi)))
+        assert ahead[k] == pytest.approx(v * np.linalg.solve(cov, d - c)[-1])  # the last shock's share
+    # a straight line: the level is the last value, and half its slope goes on
+    assert series.theta(np.arange(20.0) * 2 + 5, 3).tolist() == pytest.approx([43 + 1, 43 + 2, 43 + 3], abs=0.02)
+    rng = np.random.default_rng(1)
+    e = rng.normal(size=400)
+    y = np.cumsum(0.5 + e - np.append(0, 0.6 * e[:-1]))
+    steps = np.diff(series.theta(y, 4))
+    assert steps == pytest.approx(0.25, abs=0.06) and np.ptp(steps) < 1e-9
