@@ -82,7 +82,7 @@ def test_long_conversations_and_repeated_turns(spark):
 @pytest.mark.parametrize("kind", ["path", "star", "random", "broom"])
 def test_subtree_sums(spark, kind):
     rng = np.random.default_rng(1)
-    n = 60
+    n = 30
     up = {"path": lambda i: i - 1, "star": lambda i: 0, "random": lambda i: int(rng.integers(i)), "broom": lambda i: i - 1 if i < n // 2 else n // 2 - 1}[kind]
     ids = (rng.permutation(n) * 1_000_003 - 7).tolist()
     parents = [None, *[up(i) for i in range(1, n)]]
@@ -97,6 +97,6 @@ def test_subtree_sums(spark, kind):
     plain_sums = prefix_trie.decompose([-1 if p is None else p for p in parents], [values])[0]
     assert plain_sums == want
     df = spark.createDataFrame([(ids[i], None if parents[i] is None else ids[parents[i]], values[i]) for i in range(n)], "id long, parent long, v long")
-    for most in (40, 1000):
+    for most in (20, 1000):
         got = {r["id"]: r["v"] for r in prefix_trie.subtree_sums(df, ["v"], most).collect()}
         assert [got[i] for i in ids] == want
