@@ -69,3 +69,23 @@ def test_shared_tokens_in_any_batches():
         for t, s in rows:
             kinds[t].add(s)
         assert sorted(got) == sorted((t, s) for t, v in kinds.items() if len(v) > 1 for s in v)
+
+
+def test_edited_copies_around_the_threshold(spark, monkeypatch):
+    """Copies of one text with so many edits that some link, some just don't: all links are found, and far fewer pairs than all are compared."""
+    import random
+
+    seen = []
+    compared = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *a: seen.append(pairs.count()) or compared(pairs, *a))
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = {}
+    for i in range(150):
+        words = base[: rng.choice((150, 150, 148, 140))]
+        for at in rng.sample(range(len(words)), rng.choice((0, 2, 3, 4, 5, 6))):
+            words[at] = f"x{rng.choice((at % 3, i))}"  # some edits are shared
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == slow_kept(texts)
+    assert sum(seen) < 150 * 149 / 2 / 4
