@@ -18,6 +18,7 @@ from .common import cut
 RANGE_BITS = 16  # a leaf node holds the records that begin in 64 KiB
 FANOUT_BITS = 4
 FILE_RECORDS = 4096  # consecutive page ids in one WARC file
+FOLD = 16  # different rows of one record that are put together at once, on average
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_file: int = FILE_RECORDS) -> DataFrame:
@@ -33,10 +34,23 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """(file, record, length, digest). Rows that repeat a record count as one record, in the order of their digests."""
+    """(file, record, length, digest). Rows that repeat a record, as all without an id do, count as one record.
+
+    Its digest doesn't depend on their order: equal rows are counted before they
+    meet, and the different ones are folded by the leading digits of their digests,
+    about 16 into one, so that no task gathers a record of very many rows."""
     each = rows.select("file", "record", F.octet_length("payload").cast("long").alias("length"), F.sha2("payload", 256).alias("digest"))
+    each = cut(each.groupBy("file", "record", "digest").agg(F.sum("length").alias("length"), F.count("*").alias("times")))
+    most = each.groupBy("file", "record").count().agg(F.max("count")).first()[0] or 0
+    depth = 0
+    while most > FOLD << (4 * depth):
+        depth += 1
+    one = F.when(F.col("times") == 1, F.col("digest")).otherwise(F.sha2(F.concat_ws(":", "digest", F.col("times").cast("string")).cast("binary"), 256))
+    nodes = each.select("file", "record", "length", F.substring("digest", 1, depth).alias("part"), one.alias("digest"))
     together = F.when(F.count("*") == 1, F.min("digest")).otherwise(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), "").cast("binary"), 256))
-    return each.groupBy("file", "record").agg(F.sum("length").alias("length"), together.alias("digest"))
+    for digits in range(depth, -1, -1):
+        nodes = nodes.groupBy("file", "record", F.substring("part", 1, digits).alias("part")).agg(F.sum("length").alias("length"), together.alias("digest"))
+    return nodes.select("file", "record", "length", "digest")
 
 
 def manifest(found: DataFrame) -> DataFrame:
@@ -66,7 +80,7 @@ def tree(found: DataFrame, range_levels: int, file_levels: int) -> list[DataFram
     levels = [cut(leaves(found))]
     for level in range(range_levels + file_levels):
         above = levels[-1].select("*", F.struct(*_parent(level, range_levels)).alias("up"))
-        levels.append(above.groupBy("up.file", "up.node").agg(_combined(F.col("file").alias("_0"), F.col("node").alias("_1"), F.col("digest").alias("_2")).alias("digest")))
+        levels.append(cut(above.groupBy("up.file", "up.node").agg(_combined(F.col("file").alias("_0"), F.col("node").alias("_1"), F.col("digest").alias("_2")).alias("digest"))))
     return levels
 
 
