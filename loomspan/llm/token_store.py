@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import cut, shared_dir, stored
 from .tokens import encoder, tokenizer_path
 
 END_ID = 0
@@ -34,6 +34,7 @@ BUCKET = 4096
 GROUP = 4  # keys that share a seed, on average
 BLOCK_IDS = 1 << 19
 TEXTS = 2048  # texts that are encoded at once
+NAMED = 1000  # keys whose buckets and shards a filter names
 _U = np.uint64
 
 PAYLOAD = "shard int, block int, width int, payload binary, doc_ids array<long>, ranks array<int>, offsets array<long>, lengths array<long>"
@@ -154,17 +155,51 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     return path
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """(doc_id, rank, shard, offset, length) of those keys (doc_id, rank) that the store has: one bucket's function each, in constant time a key."""
+def lookup(spark: SparkSession, path: str, keys: DataFrame, few: bool = False) -> DataFrame:
+    """(doc_id, rank, shard, offset, length) of those keys (doc_id, rank) that the store has: one bucket's function each, in constant time a key.
+
+    few: the keys' buckets are collected and named to the scan, which else reads the whole index."""
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     some = index.select("buckets").first()
     buckets = some["buckets"] if some else 1
     keys = keys.select(F.col("doc_id").cast("long"), F.col("rank").cast("int"))
     keys = keys.select(F.col("doc_id").cast("string"), "rank", *_hashes("doc_id", "rank")).withColumn("bucket", F.pmod("k1", F.lit(buckets)))
+    if few:
+        index = index.where(F.col("bucket").isin([r[0] for r in keys.select("bucket").distinct().collect()]))
     found = keys.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_find, "doc_id string, rank int, shard int, offset long, length long")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = [np.frombuffer(x, f"<u{w}").astype(np.int64) for x, w in zip(batch.column("raw").to_pylist(), batch.column("width").to_pylist())]
+        ids = pa.array(raw, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rank"), ids], names=["doc_id", "rank", "ids"])
+
+
+def get(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(doc_id, rank, ids) of those keys (doc_id, rank) that the store has, the end id included.
+
+    The buckets and shards of up to NAMED keys are named in the scans' filters, where
+    statistics of the files skip the others: the index is sorted by bucket and a
+    payload file holds one shard. More keys read the whole store. Repeated keys count
+    once; a null doc_id is a key like any other, and a null rank finds nothing."""
+    keys = cut(keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("rank").cast("int").alias("rank")).distinct())
+    few = keys.count() <= NAMED
+    found = cut(lookup(spark, path, keys, few))
+    payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
+    if few:
+        payload = payload.where(F.col("shard").isin([r[0] for r in found.select("shard").distinct().collect()]))
+    # the block of each document first, from its arrays alone; then the blocks' ids meet only what is wanted of them
+    at = payload.select("shard", "block", F.element_at("offsets", 1).alias("first"), F.explode(F.arrays_zip("offsets", "doc_ids", "ranks")).alias("e"))
+    at = at.select("shard", "block", "first", F.col("e.offsets").alias("offset"), F.col("e.doc_ids").alias("own"), F.col("e.ranks").alias("own_rank"))
+    # a fingerprint may be another key's, once in four billion foreign ones: the stored key decides
+    wanted = found.join(at, ["shard", "offset"]).where(F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_rank") == F.col("rank")))
+    cutting = F.substring("payload", ((F.col("offset") - F.col("first")) * F.col("width") + 1).cast("int"), (F.col("length") * F.col("width")).cast("int"))
+    met = wanted.join(payload.select("shard", "block", "width", "payload"), ["shard", "block"])
+    return met.select("doc_id", "rank", "width", cutting.alias("raw")).mapInArrow(_ids, "doc_id long, rank int, ids array<long>")
+
+
 def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():

@@ -1,5 +1,6 @@
 """What nulls, empty texts, ties and repeated rows give, by value, for the operators that other edge tests only count."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +41,30 @@ def test_classifier(spark, docs):
     for r in found:
         by.setdefault(r["doc_id"], []).append(r["score"])
     assert by[1] == by[2] and by[5][0] == by[5][1]  # a null text is an empty one; equal texts score alike
+
+
+def test_ids_by_key(spark, docs, monkeypatch):
+    from loomspan.llm.tokens import encoder, tokenizer_path
+
+    store = token_store.write(docs)
+    enc = encoder(tokenizer_path())
+    want = {}
+    for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+        rank = sum(k[0] == r[0] for k in want)
+        want[r[0], rank] = np.frombuffer(enc.plain([r[1] or ""])[0], "<u4").tolist() + [token_store.END_ID]
+    keys = spark.createDataFrame([*want, (10**9, 0), (None, None), *want], "doc_id long, rank int")
+    for named in (token_store.NAMED, 0):
+        monkeypatch.setattr(token_store, "NAMED", named)
+        rows = token_store.get(spark, store, keys).collect()
+        assert len(rows) == len(want) and {(r["doc_id"], r["rank"]): r["ids"] for r in rows} == want
+    assert token_store.get(spark, store, keys.limit(0)).isEmpty()
+
+
+def test_fixity_of_a_record_with_many_rows(spark):
+    """All rows without an id are one record: found changed whatever the change, equal in any order, folded in steps."""
+    rows = spark.range(3000).select(F.lit(-1).cast("long").alias("file"), F.lit(None).cast("long").alias("record"), F.concat(F.lit("row "), (F.col("id") % 2000).cast("string")).cast("binary").alias("payload"))
+    assert fixity.audit(rows, rows.repartition(7).orderBy(F.desc("payload"))).isEmpty()
+    for other in (rows.limit(2999), rows.unionByName(rows.limit(1)), rows.withColumn("payload", F.when(F.col("payload") == F.lit("row 7").cast("binary"), F.lit("row x").cast("binary")).otherwise(F.col("payload")))):
+        assert [(r["record"], r["kind"]) for r in fixity.audit(rows, other).collect()] == [(None, "changed")]
+    found = fixity.digests(rows).first()
+    assert found["length"] == sum(4 + len(str(i % 2000)) for i in range(3000)) and len(found["digest"]) == 64
