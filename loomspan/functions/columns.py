@@ -65,7 +65,9 @@ def stability_label(deviation: Column) -> Column:
 
 
 def percent_text(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.concat(F.format_string("%.1f", x), F.lit("%")))
+    """x to one digit, halves up; what rounds to zero from below keeps its sign, which round() drops."""
+    digits = F.round(x, 1)
+    return F.when(x.isNotNull(), F.concat(F.format_string("%.1f", F.when((x < 0) & (digits == 0), F.lit(-0.0)).otherwise(digits)), F.lit("%")))
 
 
 def correlation(x: Column, y: Column) -> Column:

@@ -28,8 +28,8 @@ def summary(df: DataFrame, value: str, first: int, last: int) -> DataFrame:
         at(first).alias("start"), F.coalesce(at(last), F.max_by(value, F.when(F.col(value).isNotNull(), F.col("year")))).alias("end"),
         F.regr_slope(value, F.col("year").cast("double")).alias("slope"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
     )
-    growth = F.round(F.try_divide(F.col("end") - F.col("start"), F.col("start")) * 100, 1)
-    return g.select("area", F.round("start", 1).alias("start"), F.round("end", 1).alias("end"), growth.alias("growth_pct"), percent_text(growth).alias("growth"), F.round("slope", 2).alias("slope"), F.round("mean", 1).alias("mean"), F.round("std", 1).alias("std"))
+    growth = F.try_divide(F.col("end") - F.col("start"), F.col("start")) * 100
+    return g.select("area", F.round("start", 1).alias("start"), F.round("end", 1).alias("end"), F.round(growth, 1).alias("growth_pct"), percent_text(growth).alias("growth"), F.round("slope", 2).alias("slope"), F.round("mean", 1).alias("mean"), F.round("std", 1).alias("std"))
 
 
 def gap_share(df: DataFrame, columns: list[str]) -> DataFrame:

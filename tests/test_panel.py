@@ -61,6 +61,12 @@ def test_nothing_leaks_from_later_years(spark):
     assert not any(c.startswith(("p_lag", "p_ma")) for c in features.feature_columns(prepare.feature_matrix(long, ["p", "q r"], "p", 2016), "p"))
 
 
+def test_growth_below_zero_that_rounds_to_zero_keeps_its_sign(spark):
+    paths = {"a": (241392.1, 241274.0), "b": (241274.0, 241392.1), "c": (5.0, 5.0), "d": (100.0, 87.6)}
+    df = spark.createDataFrame([(area, 2000 + 24 * i, v) for area, vs in paths.items() for i, v in enumerate(vs)], "area string, year int, x double")
+    assert {r["area"]: r["growth"] for r in stats.summary(df, "x", 2000, 2024).collect()} == {"a": "-0.0%", "b": "0.0%", "c": "0.0%", "d": "-12.4%"}
+
+
 def test_growth_and_numbers(spark):
     row = spark.range(1).select(growth_rate(F.lit(100.0), F.lit(200.0), 10).alias("g"), growth_rate(F.lit(-1.0), F.lit(2.0), 1).alias("n"), number(F.lit("1e3")).alias("a"), number(F.lit("x")).alias("b"), number(F.lit("NaN")).alias("c")).first()
     assert round(row["g"] * 100, 2) == 7.18 and row["n"] is None and (row["a"], row["b"], row["c"]) == (1000.0, None, None)
