@@ -26,7 +26,8 @@ MIN_LITERAL = 4  # words of a window that are no placeholder
 MIN_COVER = 0.5  # of an item's words
 MIN_RUN = 20  # or so many of its words
 MIN_EXACT = 3  # words of an item that is matched word by word, as it has too few literal ones
-SHARED = 64  # items: a window of more of them confirms a match but doesn't propose one
+COMMON = 64  # items: of the windows of more of them, those that can't make a match by themselves propose none
+SHARED: int | None = None  # a rule that a caller may set: windows of more items propose no match, but an item's rarest
 FILTER_BITS = 24  # the broadcast filter has 2**24 bits (2 MB) at any size of the benchmark
 # Units, lower case.
 UNITS = "mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr hrs day days week weeks year years pct percent usd eur gbp dollars euros cents k c f w kw v mph kmh".split()
@@ -256,13 +257,34 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(pdf["doc_id"].iloc[0], pdf["item_id"].iloc[0], n, int(covered.sum()), _run_lengths(covered), slots, changed)], columns=["doc_id", "item_id", "item_words", "covered_words", "longest_run", "n_slots", "n_changed"])
 
 
+def _idle(min_cover: float, min_run: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """An item's windows with `hot`: common ones, most common first, as long as all that are hot cover too little for a match."""
+        pdf = pdf.sort_values(["held", "at", "size", "hash"], ascending=[False, True, True, True])
+        n = int(pdf["item_words"].iloc[0])
+        covered, hot = np.zeros(n, bool), np.zeros(len(pdf), bool)
+        for k, (held, at, size) in enumerate(zip(pdf["held"], pdf["at"], pdf["size"])):
+            if held <= COMMON:
+                break
+            more = covered.copy()
+            more[at : at + size] = True
+            if more.sum() < min_cover * n and _run_lengths(more) < min_run:
+                covered, hot[k] = more, True
+        return pdf.assign(hot=hot)[["item_id", "at", "size", "hash", "hot"]]
+
+    return run
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_cover: float = MIN_COVER, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, item_id, item_words, covered_words, longest_run, n_slots, n_changed): documents that hold a benchmark item.
 
     Reported are pairs whose matched windows with agreeing slots cover half of the
-    item's words or a run of 20. A pair is proposed by windows that at most SHARED
-    items have, or by the item's rarest one; windows of more items (the words of a
-    task that all its items begin with) then count for the pairs so proposed.
+    item's words or a run of 20. Of windows that over COMMON items have (the words of a
+    task that all its items begin with), an item's most common ones propose no pair
+    as long as they together cover less than that: a match has another window then,
+    which proposes it, and they count for the pairs so proposed. No match is lost to
+    that. SHARED, if set, goes further: no window of more items proposes a pair, but
+    the item's rarest ones, so the words of a task alone are no match.
 
     An item with fewer than 8 words is one window, sought anywhere in the texts; one
     in which no window has four literal words is matched word by word, if it has
@@ -280,13 +302,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     found = rows.mapInArrow(_template_windows(known, sizes), ROWS)
     d = found.select(F.col("id").alias("doc_id"), F.col("at").alias("d_at"), "size", "hash", F.col("raws").alias("d_raws"))
     i = items.select(F.col("id").alias("item_id"), F.col("n_words").alias("item_words"), F.col("at").alias("i_at"), "size", "hash", "codes", F.col("raws").alias("i_raws"))
-    common = cut(items.groupBy("hash", "size").agg(F.countDistinct("id").alias("held")).where(F.col("held") > SHARED))
+    most = COMMON if SHARED is None else SHARED
+    common = cut(items.groupBy("hash", "size").agg(F.countDistinct("id").alias("held")).where(F.col("held") > most))
     if common.isEmpty():
         pairs = d.join(i, ["hash", "size"])
     else:
         held = i.join(common, ["hash", "size"], "left").withColumn("held", F.coalesce("held", F.lit(1)))
-        rarest = held.groupBy("item_id").agg(F.min("held").alias("least"))
-        held = cut(held.join(rarest, "item_id").withColumn("hot", (F.col("held") > SHARED) & (F.col("held") > F.col("least"))).drop("held", "least"))
+        if SHARED is None:
+            each = held.select("item_id", "item_words", F.col("i_at").alias("at"), "size", "hash", "held")
+            hot = each.groupBy("item_id").applyInPandas(_idle(min_cover, min_run), "item_id long, at int, size int, hash long, hot boolean")
+            hot = hot.where("hot").select("item_id", F.col("at").alias("i_at"), "size", "hash", F.lit(True).alias("hot")).distinct()
+            held = cut(held.join(hot, ["item_id", "i_at", "size", "hash"], "left").withColumn("hot", F.coalesce("hot", F.lit(False))).drop("held"))
+        else:
+            rarest = held.groupBy("item_id").agg(F.min("held").alias("least"))
+            held = cut(held.join(rarest, "item_id").withColumn("hot", (F.col("held") > SHARED) & (F.col("held") > F.col("least"))).drop("held", "least"))
         d = cut(d)
         proposed = cut(d.join(held.where("not hot").drop("hot"), ["hash", "size"]))
         confirmed = d.join(common.select("hash", "size"), ["hash", "size"], "left_semi").join(proposed.select("doc_id", "item_id").distinct(), "doc_id")

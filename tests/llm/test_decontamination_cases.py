@@ -48,6 +48,30 @@ def test_shared_windows(spark, monkeypatch):
     assert set(found(spark, docs, items)) == {(1, 100 + k) for k in range(6)} | {(2, 100 + k) for k in range(6)} | {(2, 7), (3, 9)}
 
 
+def test_passage_of_many_items(spark):
+    """Each of 70 items begins with one passage: a document with that alone holds over half of each, whatever their number."""
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passage = words(30)
+    items = [(k, f"{passage} {words(12)}") for k in range(70)]
+    assert set(found(spark, [(1, f"x {passage} y"), (2, passage[:60])], items)) == {(1, k) for k in range(70)}
+
+
+def test_common_windows_lose_nothing(spark, monkeypatch):
+    """Items of shared and own parts: windows that propose nothing change no row."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    shared = [words(n) for n in (9, 12, 15, 22)]
+    part = lambda: rng.choice(shared) if rng.random() < 0.6 else words(rng.randint(2, 12))
+    items = [(k, " ".join(part() for _ in range(rng.randint(1, 4)))) for k in range(40)]
+    items += [(40 + k, items[k][1]) for k in range(5)]
+    docs = [(k, " ".join(rng.choice([part(), rng.choice(items)[1]]) for _ in range(3))) for k in range(40)]
+    monkeypatch.setattr(decontamination, "COMMON", 10**9)
+    whole = found(spark, docs, items)
+    monkeypatch.setattr(decontamination, "COMMON", 2)
+    assert found(spark, docs, items) == whole and len(whole) > 100
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_recall_of_changed_items(spark, seed):
     """Items with other numbers and names are found, and each only with its own item."""
