@@ -21,6 +21,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+PART_ROWS = 50_000  # rows of a panel in a partition
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """df checkpointed, so that the raw rows behind a panel are read once, and in as few partitions as its rows need.
+
+    A fit of trees is thousands of small jobs, each with a task a partition."""
+    kept = cut(df)
+    return kept.coalesce(max(1, -(-kept.count() // PART_ROWS)))
+
+
 def numbered(names: DataFrame, by: str, name: str, first: int = 0) -> DataFrame:
     """names with `name`, the row's place in the order of the column `by`, from `first`. The column is unique and without nulls.
 

@@ -17,7 +17,7 @@ from ..functions import moments
 from ..functions import series as one
 from ..functions.columns import finite, series
 from .impute import sparse_columns
-from .lineage import cut
+from .lineage import compact, cut
 from .stats import quantiles
 
 LEAST = 5  # years that a model needs
@@ -109,7 +109,7 @@ def tree(name: str, parameters: dict, seed: int = 42):
 
 
 def assembled(df: DataFrame, features: list[str], target: str) -> tuple[DataFrame, Callable[[], None]]:
-    """(area, year, y, features) as the trees read it, persisted (memory, then disk), and what releases it. Rows with gaps are skipped."""
+    """(area, year, y, features) as the trees read it, persisted (memory, then disk) in the partitions of df (see `compact`), and what releases it. Rows with gaps are skipped."""
     from pyspark.ml.feature import VectorAssembler
 
     rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df.where(F.col(target).isNotNull()))
@@ -119,7 +119,7 @@ def assembled(df: DataFrame, features: list[str], target: str) -> tuple[DataFram
 
 def tree_predictions(df: DataFrame, features: list[str], target: str, years: list[int], trees: int = 50, seed: int = 42, models: tuple[str, ...] = TREES, parameters: dict[str, dict] | None = None) -> DataFrame:
     """The same log for a random forest and boosted trees: one panel model for each year, fitted on all areas' years before it."""
-    rows, release = assembled(df, features, target)
+    rows, release = assembled(compact(df), features, target)
     given, parts = {"RandomForest": {"numTrees": trees}} | (parameters or {}), []
     for t in years:
         for name in models:
@@ -137,7 +137,7 @@ def full_log(df: DataFrame, features: list[str], target: str, years: list[int],
     has a target, as in each part: windows, one grouped map a family, panel trees. Trees
     see an area through the panel, so they need its row of features alone; rows of
     areas with fewer than five years before are left out of theirs too."""
-    rows = df.where(F.col(target).isNotNull())
+    rows = compact(df.where(F.col(target).isNotNull()))
     parts = []
     if windows := [m for m in models if m in ("Naive", "LinearTrend", "MA3", "MA5", "SeasonalLag")]:
         parts.append(window_predictions(rows, target, years).where(F.col("model").isin(windows)))
@@ -176,7 +176,7 @@ def tune_linear(df: DataFrame, features: list[str], target: str, until: int, rid
     only sums of products, which Spark adds up by year in one pass: features are scaled
     from them (unless `scaled` is false), and ElasticNet goes down its penalties from one solution to the next, so
     candidates cost no pass. A second pass scores all of them."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, compact(df)
     used = sparse_columns(df.where(F.col(target).isNotNull()), features, until)
     k = len(used)
     rows = df.where((F.col("year") <= until) & F.col(target).isNotNull())
@@ -243,7 +243,7 @@ def tune_trees(df: DataFrame, features: list[str], target: str, until: int, grid
     model of fewer rounds is the beginning of the other."""
     from multiprocessing.pool import ThreadPool
 
-    grids = {"RandomForest": FOREST_GRID, "BoostedTrees": BOOST_GRID} if grids is None else grids
+    grids, df = {"RandomForest": FOREST_GRID, "BoostedTrees": BOOST_GRID} if grids is None else grids, compact(df)
     used = sparse_columns(df.where(F.col(target).isNotNull()), features, until)
     rows, release = assembled(df.where(F.col("year") <= until), used, target)
     span = rows.agg(F.min("year"), F.max("year")).first()
