@@ -15,7 +15,7 @@ from ..functions import moments
 from ..functions import series as one
 from ..functions.columns import clip, series
 from . import walkforward
-from .lineage import cut
+from .lineage import compact, cut
 from .stats import quantiles
 
 DRAWS = 200  # resampled paths behind an interval
@@ -296,11 +296,11 @@ def tree_forecasts(df: DataFrame, features: list[str], target: str, horizon: int
     filled with the median of the fitted rows."""
     from pyspark.ml.feature import VectorAssembler
 
-    columns = columns or []
+    columns, df = columns or [], compact(df)
     rows, release = walkforward.assembled(df, features, target)
     middle = {f: v[0] for f, v in quantiles(df.where(F.col(target).isNotNull()), features, [0.5]).items()}
     codes = [f for f in features if f in ("area_code", "country_code")]
-    start = cut(_ahead(df, target, horizon, columns, codes[0] if codes else None).withColumn("horizon", F.lit(horizon)))
+    start = compact(_ahead(df, target, horizon, columns, codes[0] if codes else None).withColumn("horizon", F.lit(horizon)))
     pack, parts = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features"), []
     for name in models:
         fitted, state = walkforward.tree(name, (parameters or {}).get(name, {}), seed).fit(rows), start
@@ -321,7 +321,7 @@ def all_forecasts(df: DataFrame, features: list[str], target: str, horizon: int,
 
     Drawn out over several steps, Naive is the trend. A model that fails on an area has no rows there.
     Trends are aggregates, the other models of one area a grouped map, trees panel models that step together."""
-    rows = df.where(F.col(target).isNotNull())
+    rows = compact(df.where(F.col(target).isNotNull()))
     parts = [linear_forecast(rows, target, horizon, name) for name in models if name in ("Naive", "LinearTrend")]
     if grouped := tuple(m for m in models if m not in ("Naive", "LinearTrend", *walkforward.TREES)):
         parts.append(series_forecasts(rows, target, horizon, grouped, features, columns, parameters))
@@ -341,7 +341,7 @@ def best_forecasts(df: DataFrame, best: DataFrame, target: str, horizon: int, fe
     `log` (`residual_bootstrap`; without a log the width is zero). Where a model gives
     nothing, Holt goes on ("Holt (fallback)"), then the trend ("LinearTrend (last
     resort)") with +- 1.645 tenths of the deviation. Areas without a best model have no rows."""
-    features, columns, parameters = features or [], columns or [], parameters or {}
+    features, columns, parameters, df = features or [], columns or [], parameters or {}, compact(df)
     wanted = best.select("area", F.col("model").alias("wanted"))
     rows = df.join(wanted, "area")
     is_tree = F.col("wanted").isin(*walkforward.TREES)

@@ -164,3 +164,30 @@ def test_tree_grid(spark):
     one = walkforward.tune_trees(df, ["p", "q"], "demand", 2019, {"BoostedTrees": grids["BoostedTrees"][:1]}, exact=True).first()
     assert one["mae"] == pytest.approx(next(r["mae"] for r in full if r["parameters"] == one["parameters"]))
     assert walkforward.tune_trees(df.limit(0), ["p", "q"], "demand", 2019, grids).isEmpty()
+
+
+def test_panels_are_read_once_in_few_partitions(spark, monkeypatch):
+    """What lies behind a panel is read once, and trees see it in one partition while it has few rows."""
+    met, seen = spark.sparkContext.accumulator(0), []
+    small = [(a, y, float(y % 5 + k), float(y % 3), float((y * 7 + k) % 11)) for k, a in enumerate("abc") for y in range(2000, 2020)]
+
+    def counted(batches):
+        for pdf in batches:
+            met.add(len(pdf))
+            yield pdf
+
+    def assembled(df, *more):
+        seen.append(df.rdd.getNumPartitions())
+        return given(df, *more)
+
+    given = walkforward.assembled
+    monkeypatch.setattr(walkforward, "assembled", assembled)
+    names = "area string, year int, p double, q double, demand double"
+    df = spark.createDataFrame(small, names).repartition(12, "area", "year").mapInPandas(counted, names)
+    jobs = [
+        lambda: walkforward.tune_trees(df, ["p", "q"], "demand", 2019, {"RandomForest": ({"numTrees": 2, "maxDepth": 2},)}),
+        lambda: forecast.all_forecasts(df, ["p", "q"], "demand", 2, models=("Naive", "Holt", "Ridge", "RandomForest"), parameters={"RandomForest": {"numTrees": 2, "maxDepth": 2}}),
+    ]
+    for k, job in enumerate(jobs, 1):
+        assert job().count() and met.value == k * len(small)
+    assert seen == [1, 1]
