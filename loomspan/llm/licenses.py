@@ -1,8 +1,8 @@
 """Licence scan of paragraphs: a trained n-gram classifier, confirmed by templates.
 
 Paragraphs are told apart by multinomial logistic regression over sparse word
-n-grams. The classes are licence families and unknown; the threshold of the unknown
-class is calibrated on paragraphs of the corpus that the fit hasn't seen. A
+n-grams. The classes are licence families and unknown. Half of the corpus's paragraphs
+stand for unknown in the fit, the threshold of that class is calibrated on the other half. A
 prediction counts when most word pairs of the paragraph and one of the family's
 templates agree. Everything on the scan's path is a DataFrame expression.
 
@@ -16,8 +16,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +50,9 @@ BEHIND = ["", " See the file for details.", " as of 2021."]
 VARIANTS = 8  # of each notice and look-alike, for training
 VARIANT_WEIGHT = 20.0  # of one of them against one paragraph of the corpus
 TRAIN_ITERATIONS = 80
-SAMPLE_TEXTS = 600  # documents (of the smallest id hashes) whose paragraphs are usual ones
-SAMPLE_ROWS = 4000  # of those paragraphs, at most: one half for the fit, one for the threshold
-FALSE_RATE = 0.001  # of the second half, above the threshold
+USUAL_WEIGHT = 2000.0  # of all paragraphs of the corpus together in the fit, at most: each counts, however many there are
+FIT_ROWS = 50_000  # rows of the fit in a partition
+FALSE_RATE = 0.001  # of the paragraphs that the fit has not seen, above the threshold
 MIN_PROBABILITY = 0.5
 MIN_TEMPLATE = 0.6
 MIN_PAIRS = 2  # word pairs of a paragraph, for its own share of them to confirm
@@ -99,38 +102,83 @@ def variants(text: str, n: int = VARIANTS) -> list[str]:
     return out
 
 
+def _usual(vocabulary: list[str], notices: dict[str, list[str]], most: int = 100_000):
+    """Paragraphs (text, fit) counted by which n-grams of the vocabulary they hold, but those that hold most of a template's word pairs (`_agreement`)."""
+    known = frozenset(vocabulary)
+    first = frozenset(g.split(" ")[0] for g in vocabulary if " " in g)
+    templates = [frozenset(_pairs(t)) for ts in notices.values() for t in ts]
+    of: dict[str, list[int]] = {}
+    for k, t in enumerate(templates):
+        for g in t:
+            of.setdefault(g, []).append(k)
+    find = re.compile(_WORD).findall
+
+    def batch(counts: Counter) -> pa.RecordBatch:
+        keys = list(counts)
+        columns = [pa.array([list(g) for g, _ in keys], pa.list_(pa.string())), pa.array([f for _, f in keys], pa.bool_()), pa.array(list(counts.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["grams", "fit", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for rows in batches:
+            for text, fit in zip(rows.column(0), rows.column(1)):
+                words = find(text.as_py().lower())
+                held = known.intersection(words)
+                if held:
+                    starts = [i for i, w in enumerate(words) if w in first]
+                    held |= known.intersection(" ".join(words[i : i + n]) for i in starts for n in (2, 3))
+                    hits = Counter(k for g in held for k in of.get(g, ()))
+                    if hits and max(n / len(templates[k]) for k, n in hits.items()) >= MIN_TEMPLATE:
+                        continue
+                    pairs = [g for g in held if g.count(" ") == 1 and g in of]
+                    if pairs and (size := len(set(zip(words, words[1:])))) >= MIN_PAIRS:
+                        if max(Counter(k for g in pairs for k in of[g]).values()) / size >= MIN_TEMPLATE:
+                            continue
+                counts[tuple(sorted(held)), fit.as_py()] += 1
+            if len(counts) > most:
+                yield batch(counts)
+                counts = Counter()
+        yield batch(counts)
+
+    return run
+
+
 def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, list[str]] = NOTICES) -> dict:
     """Weights by n-gram, intercepts, classes, the gate's words and the calibrated threshold.
 
-    Fitted on variants of the notices and look-alikes and on half of a sample of the
-    corpus (at most SAMPLE_ROWS paragraphs of SAMPLE_TEXTS documents; those that hold
-    most of a template's word pairs are left out). The threshold is the licence
-    probability that one in a thousand of the other half reaches, 0.5 at least."""
+    Fitted on variants of the notices and look-alikes and on half of all paragraphs of
+    the corpus (those that hold most of a template's word pairs are left out). To the
+    model a paragraph is the n-grams of the notices that it holds, so paragraphs are
+    counted by these; USUAL_WEIGHT bounds the weight of all, not their number. The
+    threshold is the licence probability that one in a thousand of the other half
+    reaches, 0.5 at least."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
 
     classes = [UNKNOWN, *sorted(notices)]
     told = [(v, float(classes.index(k))) for k, ts in notices.items() for t in ts for v in variants(t)] + [(v, 0.0) for t in NEGATIVES for v in variants(t)]
     told = cut(spark.createDataFrame(told, "text string, label double").select("label", grams(F.col("text")).alias("grams"), F.lit(VARIANT_WEIGHT).alias("weight")))
-    few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_TEXTS)
-    order = F.xxhash64("doc_id", "paragraph", "text")
-    usual = _paragraphs(few, "doc_id", "text", []).orderBy(order, "doc_id", "paragraph").limit(SAMPLE_ROWS)
-    usual = usual.select(F.lit(0.0).alias("label"), grams(F.col("text")).alias("grams"), F.lit(1.0).alias("weight"), (F.pmod(order, F.lit(2)) == 0).alias("fit"))
-    held = F.array(*[F.array(*map(F.lit, _pairs(t))) for ts in notices.values() for t in ts])
-    usual = cut(usual.where(_agreement(held, F.col("grams")) < MIN_TEMPLATE))
     vocabulary = [r[0] for r in told.where("label > 0").select(F.explode("grams").alias("g")).distinct().orderBy("g").collect()]
+    order = F.xxhash64("doc_id", "paragraph", "text")
+    each = _paragraphs(docs, id_col, text_col, []).select("text", (F.pmod(order, F.lit(2)) == 0).alias("fit"))
+    usual = each.mapInArrow(_usual(vocabulary, notices), "grams array<string>, fit boolean, n long")
+    usual = cut(usual.groupBy("grams", "fit").agg(F.sum("n").alias("n")))
+    kinds, total = usual.where("fit").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    weight = (F.col("n") * F.lit(min(1.0, USUAL_WEIGHT / max(1, total)))).alias("weight")
     count = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
     count.setBinary(True)
-    rows = count.transform(told.unionByName(usual.where("fit").drop("fit"))).select("label", "weight", "features").coalesce(1)
+    rows = count.transform(told.unionByName(usual.where("fit").select(F.lit(0.0).alias("label"), "grams", weight))).select("label", "weight", "features")
+    rows = rows.coalesce(1 + kinds // FIT_ROWS).persist()
     fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.001, maxIter=TRAIN_ITERATIONS).fit(rows)
-    # fewer rows than the variants plus SAMPLE_ROWS
+    rows.unpersist()
     weights, intercepts = fitted.coefficientMatrix.toArray().T, fitted.interceptVector.toArray()
-    seen = usual.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("g").isin(vocabulary)).collect()
+    seen = usual.select(F.explode("grams").alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n")).collect()  # a row for each of the vocabulary, at most
     model = {"classes": classes, "weights": dict(zip(vocabulary, weights.tolist())), "intercepts": intercepts.tolist(), "notices": notices, "threshold": MIN_PROBABILITY}
-    model["gate"] = gate_words(vocabulary, weights, intercepts, {r["g"]: r["count"] for r in seen})
+    model["gate"] = gate_words(vocabulary, weights, intercepts, {r["g"]: r["n"] for r in seen})
     licence = F.array_max(F.slice(_probabilities(F.col("grams"), model), 2, len(classes) - 1))
-    above = usual.where("not fit").select(licence.alias("p")).agg(F.percentile("p", F.lit(1 - FALSE_RATE))).first()[0]
-    model["threshold"] = max(MIN_PROBABILITY, above or 0.0)
+    # all below the least threshold is one value to the aggregate
+    above = usual.where("not fit").select(F.greatest(licence, F.lit(MIN_PROBABILITY)).alias("p"), "n").agg(F.percentile("p", F.lit(1 - FALSE_RATE), F.col("n"))).first()[0]
+    model["threshold"] = above or MIN_PROBABILITY
     return model
 
 

@@ -60,3 +60,16 @@ def test_gate_loses_nothing(spark, model):
     gated, whole = rows(model), rows(model | {"gate": []})
     assert model["gate"] and len(gated) < len(whole) / 2
     assert {k: v for k, v in whole.items() if v != "unknown"} == {k: v for k, v in gated.items() if v != "unknown"}
+
+
+def test_every_paragraph_trains(spark):
+    """All of 5600 paragraphs of 700 texts are counted, by the n-grams that they hold; two that hold most of a template are not."""
+    odd = "The software is free of charge to any person under the terms of the club"
+    docs = [(k, "\n\n".join(["A plain line number %d stands here." % (8 * k + j) for j in range(7)] + ["Nothing else is said."])) for k in range(700)]
+    few = spark.createDataFrame([(k, t) for k, t in docs], "doc_id long, text string")
+    each = licenses._paragraphs(few, "doc_id", "text", []).selectExpr("text", "true as fit")
+    vocabulary = ["free", "free of", "free of charge", "is", "license", "mit", "mit license", "number", "of", "released", "released under", "the", "the mit", "under", "under the"]
+    counted = {tuple(r["grams"]): r["n"] for r in each.mapInArrow(licenses._usual(vocabulary, licenses.NOTICES), "grams array<string>, fit boolean, n long").groupBy("grams").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert counted == {("number",): 4900, ("is",): 700}
+    one = spark.createDataFrame([(odd, True), ("Released under the MIT License.", True), ("released under the mit license", True)], "text string, fit boolean")
+    assert [r["grams"] for r in one.mapInArrow(licenses._usual(vocabulary, licenses.NOTICES), "grams array<string>, fit boolean, n long").collect()] == [["free", "free of", "free of charge", "is", "of", "the", "under", "under the"]]
