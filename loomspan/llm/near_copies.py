@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_IDS, among, components, cut
+from .common import MOST_IDS, among, components, cut, slim
 from .decontamination import _B, _KIND, _U, _bytes, _mix, _word_hash
 
 SHINGLE = 5
@@ -198,8 +198,8 @@ def _stars(rows: DataFrame, turn: int, similarity: float, radius: int) -> DataFr
     return met.select(F.least("sig", "p.sig").alias("a"), F.greatest("sig", "p.sig").alias("b")).distinct()
 
 
-def _apart(items: list[bytes], x: np.ndarray, y: np.ndarray, similarity: float, step: int = 1 << 14) -> np.ndarray:
-    """Whether the histograms of x and y differ by more than two sets of that similarity can (empty ones don't). The finer one is added up to the other's parts."""
+def _apart(items: list[bytes], x: np.ndarray, y: np.ndarray, similarity: float, step: int = 1 << 20) -> np.ndarray:
+    """Whether the histograms of x and y differ by more than two sets of that similarity can (empty ones don't). The finer one is added up to the other's parts, some pairs at once: step bytes of a side."""
     size = np.fromiter(map(len, items), np.int64, len(items))
     out = np.zeros(len(x), bool)
     known = np.flatnonzero((size[x] > 0) & (size[y] > 0))
@@ -207,8 +207,9 @@ def _apart(items: list[bytes], x: np.ndarray, y: np.ndarray, similarity: float,
     for k in np.unique(kind).tolist():
         parts = min(k >> 32, k & 0xFFFFFFFF)
         these = known[kind == k]
-        for i in range(0, len(these), step):
-            some = these[i : i + step]
+        many = max(1, step // max(k >> 32, k & 0xFFFFFFFF))
+        for i in range(0, len(these), many):
+            some = these[i : i + many]
             p, q = (np.frombuffer(b"".join(items[j] for j in z[some].tolist()), np.uint8).reshape(len(some), parts, -1).sum(axis=2, dtype=np.int32) for z in (x, y))
             most = (1 - similarity) / (1 + similarity) * (p.sum(axis=1) + q.sum(axis=1)) + 1e-6
             out[some] = np.abs(p - q).sum(axis=1) > most
@@ -245,7 +246,7 @@ def _crossing(rows: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int,
     from .simhash import chunks
 
     ids = cut(reps.join(rows.select("sig").distinct(), "sig", "left_semi").select(F.col("id").alias("doc_id")))
-    items = among(texts, ids, ids.count()).mapInArrow(_histograms(shingle, 2), "sig long, items binary").dropDuplicates(["sig"])
+    items = among(texts, ids, ids.count()).mapInArrow(slim(_histograms(shingle, 2)), "sig long, items binary").dropDuplicates(["sig"])
     each = rows.select(F.col("token").alias("block"), "sig", "n", "comp", "fp", "place")
     large = cut(each.groupBy("block").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
     if not large.isEmpty():
@@ -253,7 +254,7 @@ def _crossing(rows: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int,
         each = whole.unionByName(chunks(each.join(large, "block"), BLOCK, "sig"))
     each = each.join(items, "sig")
     sides = ((each.where(F.col("n") >= FEW), radius), (each.where(F.col("n") < FEW / similarity), 64))
-    found = [x.repartition("block").sortWithinPartitions("block", "sig").mapInPandas(_planes(similarity, r), "a long, b long") for x, r in sides]
+    found = [x.repartition("block").sortWithinPartitions("block", "sig").mapInPandas(slim(_planes(similarity, r)), "a long, b long") for x, r in sides]
     return found[0].union(found[1]).distinct()
 
 
@@ -300,8 +301,8 @@ def _together(pairs: DataFrame, rows: DataFrame, reps: DataFrame, make, kind: st
 
 def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets, brought together once for each pair and compared whole, have the similarity."""
-    pairs = cut(_together(pairs, rows, reps, _histograms(shingle, 1), "binary").mapInPandas(_plausible(similarity), "a long, b long"))
-    two = _together(pairs, rows, reps, _sets(shingle), "array<long>")
+    pairs = cut(_together(pairs, rows, reps, slim(_histograms(shingle, 1)), "binary").mapInPandas(slim(_plausible(similarity)), "a long, b long"))
+    two = _together(pairs, rows, reps, slim(_sets(shingle)), "array<long>")
     same = two.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("same"))
     return same.where(F.col("same") / (F.col("nx") + F.col("ny") - F.col("same")) >= F.lit(similarity)).select("a", "b")
 
@@ -313,7 +314,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     another. Rows of (doc_id, text) without a doc_id are not read. The radius holds
     for a similarity of 0.8 or more; give a lower one a wider radius."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    seen = cut(rows.mapInArrow(_signatures(shingle), "doc_id long, sig long, n long, fp long"))
+    seen = cut(rows.mapInArrow(slim(_signatures(shingle)), "doc_id long, sig long, n long, fp long"))
     counts = seen.where("doc_id is null").groupBy("sig").agg(F.sum("n").alias("n")).toPandas()  # 2**COUNTER_BITS rows at most
     counters = np.zeros(1 << COUNTER_BITS, np.int64)
     counters[counts["sig"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
@@ -321,7 +322,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     reps = seen.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("fp").alias("fp"))
 
     # prefixes cross the network once and are sorted; tokens of one text end there
-    prefix = rows.mapInArrow(_prefixes(counters, shingle, similarity), "token long, sig long, place int").repartition("token").sortWithinPartitions("token", "sig")
+    prefix = rows.mapInArrow(slim(_prefixes(counters, shingle, similarity)), "token long, sig long, place int").repartition("token").sortWithinPartitions("token", "sig")
     met = cut(prefix.mapInArrow(_shared, "token long, sig long, place int"))
     facts = reps.join(met.groupBy("sig").agg(F.count("*").alias("met")), "sig").select("sig", "n", "fp", (F.col("met") / F.col("n")).alias("hub"))
     blocks = cut(_different(met).join(facts, "sig"))

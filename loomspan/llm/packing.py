@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slim
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
-TEXTS = 2048
+TEXTS = 512  # encoded at once; with tokens.PART this bounds a task's arrays
 RANK_ROWS = 500_000  # rows that are numbered together, on average
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,7 +55,7 @@ def _cut_pieces(path: str, capacity: int, end_id: int):
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents as ids with end_id last, cut into full pieces; the first may be shorter."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_cut_pieces(tokenizer or tokenizer_path(), capacity, end_id), PIECES)
+    return rows.mapInArrow(slim(_cut_pieces(tokenizer or tokenizer_path(), capacity, end_id)), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:

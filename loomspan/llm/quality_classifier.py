@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slim
 from .decontamination import _B, _U, _bytes, _mix, _word_hash
 
 TRAIN_DOCUMENTS = 4000  # labelled documents that the model is fitted on, at most
@@ -224,4 +225,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 kept = batch.filter(pa.array(scored.column("score").to_numpy() >= 0.5))
                 yield kept.select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(slim(run), docs.schema)

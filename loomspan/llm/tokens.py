@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 MEMORY = 800_000  # pre-tokens that a worker remembers
-PART = 8 << 20  # bytes of text that are cut at once; a longer text is one part
+PART = 1 << 20  # bytes of text that are cut at once; a longer text is one part
 
 SIGN, LETTER, NUMBER, SPACE = range(4)
 # Endings that the byte-level pre-tokenizer cuts off behind an apostrophe.
