@@ -4,7 +4,7 @@ Paragraphs are told apart by multinomial logistic regression over sparse word
 n-grams. The classes are licence families and unknown. Half of the corpus's paragraphs
 stand for unknown in the fit, the threshold of that class is calibrated on the other half. A
 prediction counts when most word pairs of the paragraph and one of the family's
-templates agree. Everything on the scan's path is a DataFrame expression.
+templates agree. Everything but the fit (`pyspark.ml`) is a DataFrame expression.
 
 A paragraph is a line, with those it runs into: a line that ends in a letter, digit or
 comma goes on in the next one. Most paragraphs hold so little of the vocabulary that their
@@ -103,7 +103,7 @@ def variants(text: str, n: int = VARIANTS) -> list[str]:
 
 
 def _usual(vocabulary: list[str], notices: dict[str, list[str]], most: int = 100_000):
-    """Paragraphs (text, fit) counted by which n-grams of the vocabulary they hold, but those that hold most of a template's word pairs (`_agreement`)."""
+    """`_counted` in plain Python, for tests to hold it against; no query runs it."""
     known = frozenset(vocabulary)
     first = frozenset(g.split(" ")[0] for g in vocabulary if " " in g)
     templates = [frozenset(_pairs(t)) for ts in notices.values() for t in ts]
@@ -143,6 +143,43 @@ def _usual(vocabulary: list[str], notices: dict[str, list[str]], most: int = 100
     return run
 
 
+def _counted(each: DataFrame, vocabulary: list[str], notices: dict[str, list[str]]) -> DataFrame:
+    """(grams, fit, n): the paragraphs (text, fit) counted by which n-grams of the vocabulary they hold, but those that hold most of a template's word pairs (`_agreement`).
+
+    How much of a template is held follows from the n-grams, so that is looked at once they are counted. For the
+    paragraph's own share its different pairs are counted where the template's are most of them."""
+    single, more = [g for g in vocabulary if " " not in g], [g for g in vocabulary if " " in g]
+    begin = sorted({g.split(" ")[0] for g in more})
+    double = sorted({" ".join(g.split(" ")[:2]) for g in more})
+    templates = [_pairs(t) for ts in notices.values() for t in ts]
+    near = sorted({g for t in templates for g in t} & set(vocabulary))
+    own = [g for g in near if g.count(" ") == 1]
+    pair = lambda w, x, i: F.concat_ws(" ", x, F.get(w, i + 1))
+    # a null where no longer n-gram begins
+    twos = lambda w: F.transform(w, lambda x, i: F.when(x.isin(begin) & pair(w, x, i).isin(double), pair(w, x, i)))
+    threes = lambda w, p: F.transform(p, lambda x, i: F.when(x.isNotNull(), F.concat_ws(" ", x, F.get(w, i + 2))))
+
+    def held(w: Column) -> Column:
+        longer = let(twos(w), lambda p: F.filter(F.concat(p, threes(w, p)), lambda g: g.isin(more)))
+        return F.array_sort(F.array_distinct(F.concat(F.filter(w, lambda x: x.isin(single)), longer)))
+
+    def pairs(w: Column, g: Column) -> Column:
+        """How many different pairs the words have, if MIN_TEMPLATE of them can be a template's, else null. There is at most one word more than pairs."""
+        may = lambda n: F.size(F.filter(g, lambda x: x.isin(own))) >= n * MIN_TEMPLATE
+        size = let(F.size(F.array_distinct(F.filter(F.transform(w, lambda x, i: F.when(i + 1 < F.size(w), pair(w, x, i))), lambda x: x.isNotNull()))), lambda n: F.when((n >= MIN_PAIRS) & may(n), n))
+        return F.when(F.exists(g, lambda x: x.isin(own)) & may(F.size(F.array_distinct(w)) - 1), size)
+
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
+    rows = each.select("fit", let(words, lambda w: let(held(w), lambda g: F.struct(g.alias("grams"), pairs(w, g).alias("pairs")))).alias("key"))
+    # cut, as the comparison with templates would otherwise be moved to each paragraph
+    rows = cut(rows.groupBy("key", "fit").agg(F.count("*").alias("n")).select("key.*", "fit", "n"))
+    table = F.array(*[F.array(*map(F.lit, t)) for t in templates])
+    # a word pair in common is among the template's n-grams too
+    share = let(F.filter("grams", lambda g: g.isin(own)), lambda p: F.array_max(F.transform(table, lambda t: F.greatest(F.size(F.array_intersect(t, F.col("grams"))) / F.size(t), F.coalesce(F.size(F.array_intersect(t, p)) / F.col("pairs"), F.lit(0.0))))))
+    rows = rows.where(~F.exists("grams", lambda g: g.isin(near)) | (share < MIN_TEMPLATE))
+    return rows.groupBy("grams", "fit").agg(F.sum("n").alias("n"))
+
+
 def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, list[str]] = NOTICES) -> dict:
     """Weights by n-gram, intercepts, classes, the gate's words and the calibrated threshold.
 
@@ -161,8 +198,7 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     vocabulary = [r[0] for r in told.where("label > 0").select(F.explode("grams").alias("g")).distinct().orderBy("g").collect()]
     order = F.xxhash64("doc_id", "paragraph", "text")
     each = _paragraphs(docs, id_col, text_col, []).select("text", (F.pmod(order, F.lit(2)) == 0).alias("fit"))
-    usual = each.mapInArrow(_usual(vocabulary, notices), "grams array<string>, fit boolean, n long")
-    usual = cut(usual.groupBy("grams", "fit").agg(F.sum("n").alias("n")))
+    usual = cut(_counted(each, vocabulary, notices))
     kinds, total = usual.where("fit").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     weight = (F.col("n") * F.lit(min(1.0, USUAL_WEIGHT / max(1, total)))).alias("weight")
     count = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
@@ -215,7 +251,8 @@ def _agreement(templates: Column, found: Column) -> Column:
     def share(p: Column) -> Column:
         return F.array_max(F.transform(templates, lambda t: let(F.size(F.array_intersect(t, found)), lambda n: F.greatest(n / F.size(t), F.when(F.size(p) >= MIN_PAIRS, F.size(F.array_intersect(t, p)) / F.size(p)).otherwise(0.0)))))
 
-    return F.coalesce(let(pairs, share), F.lit(0.0))
+    # without templates (unknown) the pairs are not looked for
+    return F.coalesce(F.when(templates.isNotNull(), let(pairs, share)), F.lit(0.0))
 
 
 def _numbers(xs: list[float]) -> str:

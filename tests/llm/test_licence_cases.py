@@ -73,3 +73,29 @@ def test_every_paragraph_trains(spark):
     assert counted == {("number",): 4900, ("is",): 700}
     one = spark.createDataFrame([(odd, True), ("Released under the MIT License.", True), ("released under the mit license", True)], "text string, fit boolean")
     assert [r["grams"] for r in one.mapInArrow(licenses._usual(vocabulary, licenses.NOTICES), "grams array<string>, fit boolean, n long").collect()] == [["free", "free of", "free of charge", "is", "of", "the", "under", "under the"]]
+
+
+def test_counted_without_python(spark):
+    """The paragraphs that train are counted by DataFrame expressions alone, as plain Python counts them; repeated words and parts of templates too."""
+    notices = [t for ts in licenses.NOTICES.values() for t in ts]
+    odd = ["", "MIT", "under the under the under the", "license the license of the license", "İ mit K. the MIT-license 2.0.1", *notices, *[" ".join(t.split(" ")[k::2]) for t in notices for k in (0, 1)], *OTHERS]
+    given = spark.createDataFrame([(t, i % 2 == 0) for i, t in enumerate(odd)], "text string, fit boolean")
+    corpus = licenses._paragraphs(table(spark, "/root/testdata/sf0.001", "documents"), "doc_id", "text", [])
+    each = given.unionByName(corpus.selectExpr("text", "length(text) % 2 = 0 as fit"))
+    vocabulary = sorted({g for r in given.select(licenses.grams(given.text)).collect() for g in r[0]})
+    counted = licenses._counted(each, vocabulary, licenses.NOTICES)
+    plain = each.mapInArrow(licenses._usual(vocabulary, licenses.NOTICES), "grams array<string>, fit boolean, n long").groupBy("grams", "fit").agg({"n": "sum"})
+    rows = lambda df: {(tuple(r[0]), r[1]): r[2] for r in df.collect()}
+    assert rows(counted) == rows(plain) and len(rows(counted)) > 50
+
+
+def test_training_runs_no_python(spark, monkeypatch):
+    """No plan of the training runs Python: its map over the paragraphs isn't asked for."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+
+    def refuse(*_):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(type(docs), "mapInArrow", refuse)
+    monkeypatch.setattr(type(docs), "mapInPandas", refuse)
+    assert licenses.train(spark, docs)["threshold"] >= licenses.MIN_PROBABILITY
